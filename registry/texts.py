@@ -103,11 +103,10 @@ def _(spark, sf):
 
 _TAILS = "|".join(c.replace("'", "[''’]") for c in text.CLITICS)
 # a clitic ends where no word character follows; that character is put back
-SQL_CUT = rf"regexp_replace({{x}}, '(?i)({_TAILS})($|[^{text.WORD}])', ' \2', 'g')"
 
 
 def sql_alpha(x: str) -> str:
-    cut = SQL_CUT.format(x=x)
+    cut = rf"regexp_replace({x}, '(?i)({_TAILS})($|[^{text.WORD}])', ' \2', 'g')"
     return (
         f"list_filter(string_split_regex({cut}, '[{text.SPACE}{text.SEPARATOR}]+'),"
         r" lambda t: regexp_matches(t, '^\p{L}+$'))"

@@ -61,7 +61,7 @@ def main() -> None:
 
     sf, names = sys.argv[1], sys.argv[2:]
     spark = local_session(8)
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     connection = connect(sf)
     oracles, failed = oracle_sql(), 0
     for name, function in queries().items():
