@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from versemill.functions import text, words
 from versemill.sources.songs import read_spread
+from versemill.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,8 +99,13 @@ def tokenized(spark: SparkSession, sf: str) -> DataFrame:
     return cleaned(spark, sf).select("id", "decade", "tag", text.tokenize_whitespace(F.col("lyrics")).alias("tokens"))
 
 
+def staged_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, written once for queries that read the tokens several times."""
+    return stage(tokenized(spark, sf), "tokens")
+
+
 def content_words(spark: SparkSession, sf: str) -> DataFrame:
-    """The same without stop words and words of one or two characters."""
+    """All songs as token lists without stop words and words of one or two characters."""
     tokens = text.remove_stop_words(text.filter_token_length(F.col("tokens")), words.ENGLISH)
     return tokenized(spark, sf).withColumn("tokens", tokens)
 

@@ -11,6 +11,7 @@ from registry.tables import decade_songs
 from versemill.functions import text
 from versemill.operators import embeddings, topic_views, topics, vocabulary
 from versemill.operators.coherence import EPSILON, WINDOW, coherence_cv
+from versemill.operators.unnest import unnest
 from versemill.plans import topic_runs
 from versemill.plans.corpus import pluggable_preprocess
 from versemill.sources.songs import read_spread
@@ -60,7 +61,7 @@ def fixed_topics(df):
     """The most frequent words, dealt out to topics."""
     ranked = Window.orderBy(F.desc("n"), "term")
     in_topic = Window.partitionBy("topic").orderBy("term")
-    counts = df.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    counts = unnest(df, "tokens", "term").groupBy("term").agg(F.count("*").alias("n"))
     return (
         counts.orderBy(F.desc("n"), "term")
         .limit(N_FIXED)

@@ -19,6 +19,7 @@ from registry.base import (
     sql_tag,
     sql_words,
     sql_ws,
+    staged_tokens,
     tokenized,
     with_ctes,
 )
@@ -178,13 +179,13 @@ def sql_nouns(x: str) -> str:
 
 @query("lemmatize", token_sql(sql_lemmas("tokens"), "tokenized"))
 def _(spark, sf):
-    df = tokenized(spark, sf)
+    df = staged_tokens(spark, sf)
     return joined(lexicons.lemmatize(df, lemma_lexicon(df)))
 
 
 @query("keep_nouns", token_sql(sql_nouns("tokens"), "tokenized"))
 def _(spark, sf):
-    df = tokenized(spark, sf)
+    df = staged_tokens(spark, sf)
     return joined(lexicons.keep_nouns(df, tag_lexicon(df)))
 
 
@@ -308,12 +309,12 @@ def chosen_trigrams(df):
 
 @query("filter_bigrams", with_ctes("SELECT * FROM chosen_bigrams", "chosen_bigrams"))
 def _(spark, sf):
-    return chosen_bigrams(tokenized(spark, sf))
+    return chosen_bigrams(staged_tokens(spark, sf))
 
 
 @query("filter_trigrams", with_ctes("SELECT * FROM chosen_trigrams", "chosen_trigrams"))
 def _(spark, sf):
-    return chosen_trigrams(tokenized(spark, sf))
+    return chosen_trigrams(staged_tokens(spark, sf))
 
 
 @query(
@@ -328,7 +329,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    df = tokenized(spark, sf)
+    df = staged_tokens(spark, sf)
     chosen = ngrams.ranked_phrases(chosen_trigrams(df), chosen_bigrams(df))
     return cleaned(spark, sf).select("id", ngrams.join_ngrams_in_text(F.col("lyrics"), chosen).alias("lyrics"))
 
@@ -394,7 +395,7 @@ def _(spark, sf):
 
 @query("apply_phrases", with_ctes(f"SELECT {SQL_JOINED} FROM merged", "merged"))
 def _(spark, sf):
-    df = tokenized(spark, sf)
+    df = staged_tokens(spark, sf)
     return joined(phrases.apply_phrases(df, phrases.learn_phrases(df, PHRASE_MIN, PHRASE_THRESHOLD)))
 
 
@@ -438,13 +439,9 @@ cte(
 )
 
 
-def vocabulary_of(spark, sf):
-    return vocabulary.build_vocabulary(tokenized(spark, sf))
-
-
 @query("build_vocabulary", with_ctes("SELECT * FROM vocabulary", "vocabulary"))
 def _(spark, sf):
-    return vocabulary_of(spark, sf)
+    return vocabulary.build_vocabulary(tokenized(spark, sf))
 
 
 _KEEP = 300
@@ -459,8 +456,8 @@ cte(
 
 @query("filter_vocabulary", with_ctes("SELECT * FROM kept_vocabulary", "kept_vocabulary"))
 def _(spark, sf):
-    n_docs = tokenized(spark, sf).count()
-    return vocabulary.filter_vocabulary(vocabulary_of(spark, sf), n_docs, no_below=20, keep_n=_KEEP)
+    df = staged_tokens(spark, sf)
+    return vocabulary.filter_vocabulary(vocabulary.build_vocabulary(df), df.count(), no_below=20, keep_n=_KEEP)
 
 
 @query(
@@ -472,8 +469,8 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    df = tokenized(spark, sf)
-    kept = vocabulary.filter_vocabulary(vocabulary_of(spark, sf), df.count(), no_below=20, keep_n=_KEEP)
+    df = staged_tokens(spark, sf)
+    kept = vocabulary.filter_vocabulary(vocabulary.build_vocabulary(df), df.count(), no_below=20, keep_n=_KEEP)
     return vocabulary.bag_of_words(df, kept)
 
 

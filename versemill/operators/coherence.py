@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from versemill.operators.unnest import unnest_with_position
 from versemill.staging import stage
 
 # Parameters of the measure.
@@ -21,22 +22,21 @@ TOP_WORDS, WINDOW, EPSILON = 20, 110, 1e-12
 MAX_TOP_WORDS = 62
 
 
-def window_total(df: DataFrame, column: str = "tokens", window: int = WINDOW) -> Column:
-    """Number of windows in all documents; a short document is one window."""
-    per_document = F.greatest(F.size(column) - (window - 1), F.lit(1))
-    return df.where(F.col(column).isNotNull()).agg(F.sum(per_document)).scalar()
-
-
 def window_masks(df: DataFrame, words: DataFrame, column: str, key: str, window: int) -> DataFrame:
-    """``(topic, mask, windows)``: windows by the set of topic words they hold."""
+    """``(topic, mask, windows)``: windows by the set of topic words they hold.
+
+    ``df`` and ``words`` share the column ``_group``; texts are only searched for the words
+    of their own group.
+    """
     last_window = F.greatest(F.size(column) - window, F.lit(0))
-    wanted = F.broadcast(words.select("term").distinct())
+    wanted = F.broadcast(words.select("_group", "term").distinct())
     found = (
-        df.select(key, last_window.alias("_last"), F.posexplode(column).alias("_pos", "term"))
-        .join(wanted, "term")
+        unnest_with_position(df, column, "_pos", "term", key, "_group", last_window.alias("_last"))
+        .join(wanted, ["_group", "term"])
         .repartition(key)
         .select(
             key,
+            "_group",
             "term",
             "_pos",
             F.greatest(F.col("_pos") - (window - 1), F.lit(0)).alias("_from"),
@@ -46,7 +46,7 @@ def window_masks(df: DataFrame, words: DataFrame, column: str, key: str, window:
     # starts and ends grow with the position, so cutting at the previous end suffices
     previous = F.lag("_to").over(Window.partitionBy(key, "term").orderBy("_pos"))
     intervals = found.withColumn("_from", F.greatest("_from", F.coalesce(previous + 1, F.lit(0)))).where("_from <= _to")
-    events = intervals.join(F.broadcast(words), "term").select(
+    events = intervals.join(F.broadcast(words), ["_group", "term"]).select(
         key,
         "topic",
         F.inline(
@@ -74,6 +74,7 @@ def topic_coherence(
     topic_terms: DataFrame,
     column: str = "tokens",
     key: str = "id",
+    within: str | None = None,
     top_words: int = TOP_WORDS,
     window: int = WINDOW,
     epsilon: float = EPSILON,
@@ -81,45 +82,53 @@ def topic_coherence(
     """``(topic, coherence)`` for ``topic_terms(topic, rank, term)``.
 
     ``topic`` may be any type, so the topics of several models can be scored in one pass.
+    With ``within``, a column of both frames, a topic is scored on the texts of its own
+    group only; topics must still be distinct over all groups.
     """
     if top_words > MAX_TOP_WORDS:
         raise ValueError(f"at most {MAX_TOP_WORDS} words per topic")
+    group = (F.lit(0) if within is None else F.col(within)).alias("_group")
+    texts = df.where(F.col(column).isNotNull()).select(key, column, group)
     in_topic = Window.partitionBy("topic").orderBy("rank")
-    # top_words rows per topic: small by construction
+    # top_words rows per topic, so the frames made from it may be broadcast
     words = stage(
         topic_terms.where(F.col("rank") <= top_words)
-        .select("topic", "term", (F.row_number().over(in_topic) - 1).alias("i"))
+        .select(group, "topic", "term", (F.row_number().over(in_topic) - 1).alias("i"))
         .withColumn("_bit", F.expr("shiftleft(1L, i)")),
         "topic-words",
     )
-    masks = stage(window_masks(df, words, column, key, window), "window-masks")
-    total = window_total(df, column, window).cast("double")
+    masks = stage(window_masks(texts, words, column, key, window), "window-masks")
+    # a short text is one window
+    in_text = F.greatest(F.size(column) - (window - 1), F.lit(1))
+    totals = (
+        texts.join(F.broadcast(words.select("_group").distinct()), "_group", "left_semi")
+        .groupBy("_group")
+        .agg(F.sum(in_text).cast("double").alias("total"))
+    )
 
     def bit(i: int) -> Column:
         return F.shiftright("mask", i).bitwiseAND(F.lit(1)) == 1
 
-    def share_with(i: int) -> Column:
-        return F.coalesce(F.sum(F.when(bit(i), F.col("windows"))), F.lit(0)) / total
-
-    shares = [share_with(i).alias(f"_{i}") for i in range(top_words)]
+    counts = [F.coalesce(F.sum(F.when(bit(i), F.col("windows"))), F.lit(0)).alias(f"_{i}") for i in range(top_words)]
     as_array = F.array(*[F.col(f"_{i}") for i in range(top_words)])
-    # p(j) per topic, and p(i, j) per topic and word i
-    alone = masks.groupBy("topic").agg(*shares).select("topic", as_array.alias("p"))
+    # windows with word j per topic, and with words i and j per topic and i
+    alone = masks.groupBy("topic").agg(*counts).select("topic", as_array.alias("n"))
     members = F.array_compact(F.array(*[F.when(bit(i), F.lit(i)) for i in range(top_words)]))
     together = (
-        masks.withColumn("i", F.explode(members)).groupBy("topic", "i").agg(*shares).select("topic", "i", as_array.alias("p_ij"))
+        masks.withColumn("i", F.explode(members)).groupBy("topic", "i").agg(*counts).select("topic", "i", as_array.alias("n_i"))
     )
     sizes = words.groupBy("topic").agg(F.count("*").alias("size"))
     rows = (
-        words.select("topic", "i")
+        words.select("_group", "topic", "i")
+        .join(F.broadcast(totals), "_group")
         .join(F.broadcast(sizes), "topic")
         .join(F.broadcast(alone), "topic", "left")
         .join(F.broadcast(together), ["topic", "i"], "left")
     )
 
     def npmi(j: Column) -> Column:
-        p_ij = F.coalesce(F.col("p_ij")[j], F.lit(0.0))
-        p_i, p_j = F.col("p")[F.col("i")], F.col("p")[j]
+        p_ij = F.coalesce(F.col("n_i")[j], F.lit(0)) / F.col("total")
+        p_i, p_j = F.col("n")[F.col("i")] / F.col("total"), F.col("n")[j] / F.col("total")
         value = F.ln((p_ij + epsilon) / (p_i * p_j)) / -F.ln(p_ij + epsilon)
         return F.when((p_i > 0) & (p_j > 0), value).otherwise(F.lit(0.0))
 
@@ -146,6 +155,6 @@ def topic_coherence(
     )
 
 
-def coherence_cv(df: DataFrame, topic_terms: DataFrame, **kwargs) -> DataFrame:
+def coherence_cv(df: DataFrame, topic_terms: DataFrame, **settings) -> DataFrame:
     """``(coherence)``: the mean over the topics."""
-    return topic_coherence(df, topic_terms, **kwargs).agg(F.avg("coherence").alias("coherence"))
+    return topic_coherence(df, topic_terms, **settings).agg(F.avg("coherence").alias("coherence"))

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from versemill.joins import join_lookup
+from versemill.operators.unnest import unnest_structs
 from versemill.staging import stage
 
 # Settings of the collocation filters.
@@ -23,15 +26,31 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.arrays_zip(*[F.slice(tokens, i, length) for i in range(1, n + 1)]).cast(f"array<struct<{fields}>>")
 
 
-def word_counts(df: DataFrame, column: str = "tokens") -> DataFrame:
-    """``(word, n)``."""
-    return df.select(F.explode(column).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def ngram_and_word_counts(
+    df: DataFrame, n: int, min_count: int, column: str = "tokens"
+) -> tuple[DataFrame, DataFrame]:
+    """Written tables ``(w1, …, wn, n)`` and ``(word, n)`` from one pass over the texts.
 
-
-def ngram_counts(df: DataFrame, n: int, column: str = "tokens") -> DataFrame:
-    """``(w1, …, wn, n)``."""
+    N-grams are kept from ``min_count`` on, words all.
+    """
     words = [f"w{i}" for i in range(1, n + 1)]
-    return df.select(F.inline(ngrams(F.col(column), n))).groupBy(*words).agg(F.count("*").alias("n"))
+    tokens = F.col(column)
+    grams = ngrams(tokens, n)
+    single = F.transform(
+        tokens,
+        lambda t: F.struct(t.alias("w1"), *[F.lit(None).cast("string").alias(w) for w in words[1:]]),
+    )
+    counts = stage(
+        unnest_structs(df, F.concat(single, grams), words)
+        .groupBy(*words)
+        .agg(F.count("*").alias("n"))
+        .where(F.col("w2").isNull() | (F.col("n") >= min_count)),
+        "ngram-counts",
+    )
+    return (
+        counts.where(F.col("w2").isNotNull()),
+        counts.where(F.col("w2").isNull()).select(F.col("w1").alias("word"), "n"),
+    )
 
 
 def with_word_counts(grams: DataFrame, counts: DataFrame, n: int) -> DataFrame:
@@ -44,9 +63,8 @@ def with_word_counts(grams: DataFrame, counts: DataFrame, n: int) -> DataFrame:
 
 
 def _pmi(df: DataFrame, n: int, min_count: int, column: str) -> DataFrame:
-    counts = stage(word_counts(df, column), "word-counts")
+    grams, counts = ngram_and_word_counts(df, n, min_count, column)
     total = counts.agg(F.sum("n")).scalar().cast("double")
-    grams = stage(ngram_counts(df, n, column).where(F.col("n") >= min_count), "frequent-ngrams")
     # a part of a frequent n-gram is itself as frequent
     scored = with_word_counts(grams, counts.where(F.col("n") >= min_count), n)
     parts = reduce(lambda a, b: a * b, [F.col(f"n{i}").cast("double") for i in range(1, n + 1)])
@@ -125,11 +143,24 @@ def ranked_phrases(trigrams: DataFrame, bigrams: DataFrame) -> list[str]:
 
 
 def join_ngrams_in_text(text: Column, phrases: Sequence[str]) -> Column:
-    """Join each phrase by underscores wherever it occurs, one after the other."""
+    """Join each phrase by underscores wherever it occurs, one after the other.
+
+    Later phrases see the text as the earlier ones left it. The search for up to a thousand
+    phrases per text is several times faster in an Arrow batch than as nested expressions.
+    """
     if not phrases:
         return text
-    return F.aggregate(
-        F.array(*[F.lit(p) for p in phrases]),
-        text,
-        lambda out, phrase: F.replace(out, phrase, F.replace(phrase, F.lit(" "), F.lit("_"))),
-    )
+    joined = [(p, p.replace(" ", "_")) for p in phrases]
+
+    @F.arrow_udf(StringType())
+    def apply(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            if t is not None:
+                for phrase, whole in joined:
+                    if phrase in t:
+                        t = t.replace(phrase, whole)
+            out.append(t)
+        return pa.array(out, pa.string())
+
+    return apply(text)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +64,16 @@ def document_prior(alpha: str, k: int) -> list[float] | None:
     raise ValueError(f"unknown alpha {alpha!r}")
 
 
+@contextmanager
+def cached(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep a frame in memory, or on disk where it does not fit, for the steps of a fit."""
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def lda_fit(
     corpus: Corpus,
     k: int = N_TOPICS,
@@ -69,16 +82,18 @@ def lda_fit(
     alpha: str = "symmetric",
     eta: str = "symmetric",
     seed: int = 0,
+    features: DataFrame | None = None,
 ) -> TopicModel:
     """Fit one model by online variational Bayes.
 
     A pass over the corpus is ``documents / chunksize`` steps, each on a random sample of
     about ``chunksize`` documents. MLlib cannot learn the term prior, so ``eta="auto"``
-    uses the symmetric value.
+    uses the symmetric value. ``features`` may pass vectors that are cached for several fits.
     """
     if eta not in ("symmetric", "auto"):
         raise ValueError(f"unknown eta {eta!r}")
     steps = passes * max(1, math.ceil(corpus.n_docs / chunksize))
+    documents = corpus.documents.select("features") if features is None else features
     lda = LDA(
         k=k,
         optimizer="online",
@@ -90,7 +105,8 @@ def lda_fit(
         seed=seed,
         featuresCol="features",
     )
-    return TopicModel(lda.fit(corpus.documents), corpus.terms, k)
+    with nullcontext(documents) if features is not None else cached(documents):
+        return TopicModel(lda.fit(documents), corpus.terms, k)
 
 
 def _terms_frame(spark: SparkSession, terms: Sequence[str]) -> DataFrame:
@@ -161,14 +177,15 @@ def lda_grid_search(
     Returns ``(model, topics, alpha, eta, coherence)`` and the models in that order.
     """
     settings = [(k, a, e) for k in ks for a in alphas for e in etas]
-    models = [lda_fit(corpus, k, alpha=a, eta=e, **training) for k, a, e in settings]
+    with cached(corpus.documents.select("features")) as features:
+        models = [lda_fit(corpus, k, alpha=a, eta=e, features=features, **training) for k, a, e in settings]
     spark = corpus.documents.sparkSession
-    words = None
-    for i, fitted in enumerate(models):
-        part = lda_topic_terms(fitted, top_words).withColumn("topic", F.struct(F.lit(i).alias("model"), "topic"))
-        words = part if words is None else words.unionByName(part)
+    words = [
+        lda_topic_terms(fitted, top_words).withColumn("topic", F.struct(F.lit(i).alias("model"), "topic"))
+        for i, fitted in enumerate(models)
+    ]
     scores = (
-        topic_coherence(corpus.documents, words, top_words=top_words)
+        topic_coherence(corpus.documents, reduce(DataFrame.unionByName, words), top_words=top_words)
         .groupBy(F.col("topic.model").alias("model"))
         .agg(F.avg("coherence").alias("coherence"))
     )

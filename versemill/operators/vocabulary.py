@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from versemill.joins import join_lookup
 from versemill.operators.columns import filter_decades
+from versemill.operators.unnest import unnest, unnest_structs
 from versemill.staging import with_row_index
 
 # Vocabulary limits of the second topic pipeline.
@@ -36,7 +37,7 @@ def term_frequencies(df: DataFrame, column: str = "tokens") -> DataFrame:
     tokens = F.col(column)
     both = F.concat(entries(F.array_distinct(tokens), 1, 0), entries(tokens, 0, 1))
     return (
-        df.select(F.inline(both))
+        unnest_structs(df, both, ["term", "d", "t"])
         .groupBy("term")
         .agg(F.sum("d").alias("doc_freq"), F.sum("t").alias("term_freq"))
     )
@@ -80,7 +81,7 @@ def filter_vocabulary(
 
 def bag_of_words(df: DataFrame, vocabulary: DataFrame, column: str = "tokens", key: str = "id") -> DataFrame:
     """``(id, term_id, term, tf)``; tokens outside the vocabulary are ignored."""
-    counts = df.select(key, F.explode(column).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    counts = unnest(df, column, "term", key).groupBy(key, "term").agg(F.count("*").alias("tf"))
     return join_lookup(counts, vocabulary.select("term", "term_id"), ["term"], spread_by=[key, "term"]).select(
         key, "term_id", "term", "tf"
     )
@@ -103,8 +104,7 @@ def vectorize(df: DataFrame, terms: Sequence[str], column: str = "tokens", outpu
 def term_document_matrix(df: DataFrame, decades: Sequence[int], column: str = "tokens", key: str = "id") -> DataFrame:
     """``(id, decade, term, n)`` for songs of the listed decades."""
     return (
-        filter_decades(df, decades)
-        .select(key, "decade", F.explode(column).alias("term"))
+        unnest(filter_decades(df, decades), column, "term", key, "decade")
         .groupBy(key, "decade", "term")
         .agg(F.count("*").alias("n"))
     )
@@ -122,7 +122,7 @@ def term_document_matrix_decade(
 def top_terms_by_decade(df: DataFrame, n_terms: int = 10, column: str = "tokens") -> DataFrame:
     """``(decade, rank, term, n)``: the most frequent terms of each decade, ties by term."""
     counts = (
-        df.select("decade", F.explode(column).alias("term"))
+        unnest(df, column, "term", "decade")
         .groupBy("decade", "term")
         .agg(F.count("*").alias("n"))
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,22 +68,23 @@ def lda_by_decade(
 
 def decade_topic_terms(runs: Sequence[DecadeRun], n_terms: int = 10) -> DataFrame:
     """``(decade, topic, rank, term, weight)`` of all runs."""
-    out = None
-    for run in runs:
-        part = topics.lda_topic_terms(run.fitted, n_terms).withColumn("decade", F.lit(run.decade))
-        out = part if out is None else out.unionByName(part)
-    return out.select("decade", "topic", "rank", "term", "weight")
+    parts = [topics.lda_topic_terms(run.fitted, n_terms).withColumn("decade", F.lit(run.decade)) for run in runs]
+    return reduce(DataFrame.unionByName, parts).select("decade", "topic", "rank", "term", "weight")
 
 
 def lda_metrics_by_decade(runs: Sequence[DecadeRun], top_words: int = 20) -> DataFrame:
     """``(decade, coherence, perplexity)``."""
+    texts = [run.corpus.documents.select("id", "tokens", F.lit(run.decade).alias("decade")) for run in runs]
+    # one pass scores the topics of all decades, each on its own texts
+    topic_words = decade_topic_terms(runs, top_words).withColumn("topic", F.struct("decade", "topic"))
+    scores = (
+        topic_coherence(reduce(DataFrame.unionByName, texts), topic_words, within="decade", top_words=top_words)
+        .groupBy(F.col("topic.decade").alias("decade"))
+        .agg(F.avg("coherence").alias("coherence"))
+    )
+    bounds = [(run.decade, topics.lda_perplexity(run.fitted, run.corpus.documents)) for run in runs]
     spark = runs[0].corpus.documents.sparkSession
-    rows = []
-    for run in runs:
-        scores = topic_coherence(run.corpus.documents, topics.lda_topic_terms(run.fitted, top_words), top_words=top_words)
-        coherence = scores.agg(F.avg("coherence")).first()[0]
-        rows.append((run.decade, coherence, topics.lda_perplexity(run.fitted, run.corpus.documents)))
-    return spark.createDataFrame(rows, "decade int, coherence double, perplexity double")
+    return scores.join(spark.createDataFrame(bounds, "decade int, perplexity double"), "decade")
 
 
 def topics_for_genre_decade(
