@@ -11,6 +11,7 @@ from registry.tables import decade_songs
 from versemill.functions import text
 from versemill.operators import embeddings, topic_views, topics, vocabulary
 from versemill.operators.coherence import EPSILON, WINDOW, coherence_cv
+from versemill.operators.topic_bound import likelihood_bound
 from versemill.operators.unnest import unnest
 from versemill.plans import topic_runs
 from versemill.plans.corpus import pluggable_preprocess
@@ -152,8 +153,8 @@ def _(spark, sf):
 @query("lda_perplexity")
 def _(spark, sf):
     data, model = fitted(spark, sf)
-    row = (topics.lda_perplexity(model, data.documents), topics.lda_log_likelihood(model, data.documents))
-    return spark.createDataFrame([row], "bound double, log_likelihood double")
+    total, tokens = likelihood_bound(model.model, data.documents)
+    return spark.createDataFrame([(total / tokens, total, int(tokens))], "bound double, log_likelihood double, tokens long")
 
 
 @query("lda_sweep_k")

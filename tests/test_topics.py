@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from registry.base import content_words
 from tests.conftest import rows
-from versemill.operators import embeddings, ngrams, phrases, topic_views, topics, vocabulary
+from versemill.operators import embeddings, ngrams, phrases, topic_bound, topic_views, topics, vocabulary
 from versemill.operators.coherence import coherence_cv, topic_coherence
+from versemill.operators.topic_bound import digamma
 from versemill.plans import topic_runs
 from versemill.staging import new_path, stage
 
@@ -172,11 +173,33 @@ def test_topic_terms(corpus, fitted):
 def test_same_seed_same_model_and_bound_sign(corpus, fitted):
     bound = topics.lda_perplexity(fitted, corpus.documents)
     assert bound < 0
-    assert topics.lda_log_likelihood(fitted, corpus.documents) < 0
+    assert bound == pytest.approx(-fitted.model.logPerplexity(corpus.documents), rel=1e-6)
+    likelihood = topics.lda_log_likelihood(fitted, corpus.documents)
+    assert likelihood == pytest.approx(fitted.model.logLikelihood(corpus.documents), rel=1e-6)
     again = topics.lda_fit(corpus, k=3, passes=3)
     assert topics.lda_perplexity(again, corpus.documents) == pytest.approx(bound, rel=1e-6)
 
 
+def test_digamma():
+    x = np.array([0.01, 0.5, 1.0, 2.5, 7.0, 100.0])
+    step = 1e-6 * x
+    slope = [(math.lgamma(a + h) - math.lgamma(a - h)) / (2 * h) for a, h in zip(x, step)]
+    assert digamma(x) == pytest.approx(slope, rel=1e-6)
+
+
+def test_bound_is_the_same_in_small_parts(corpus, fitted, monkeypatch):
+    bound = topics.lda_perplexity(fitted, corpus.documents)
+    monkeypatch.setattr(topic_bound, "CELLS", 1000)
+    assert topics.lda_perplexity(fitted, corpus.documents.repartition(3)) == pytest.approx(bound, rel=1e-9)
+
+
+def test_terms_with_line_breaks(spark):
+    df = spark.createDataFrame([(1, ["a\nb", "c", "c"])], "id int, tokens array<string>")
+    for terms in (["a\nb", "c"], ["c", "d"]):
+        vector = vocabulary.vectorize(df, terms).first().features
+        assert vector.size == 2 and vector[terms.index("c")] == 2
+
+
 def test_auto_settings(corpus):
     assert topics.lda_fit(corpus, k=2, passes=1, alpha="auto", eta="auto").k == 2
     with pytest.raises(ValueError):

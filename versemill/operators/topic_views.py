@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from versemill.operators.topic_bound import token_count
 from versemill.operators.topics import TopicModel, lda_topic_terms, topic_distribution
 
 RELEVANT_TERMS = 30
@@ -19,10 +20,9 @@ RELEVANT_TERMS = 30
 
 def topic_share(fitted: TopicModel, documents: DataFrame) -> DataFrame:
     """``(topic, share)``: topic sizes weighted by document length in counted tokens."""
-    length = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)
     weighted = (
         topic_distribution(fitted, documents)
-        .withColumn("_length", length)
+        .withColumn("_length", token_count())
         .select("_length", F.posexplode("theta").alias("topic", "weight"))
         .groupBy("topic")
         .agg(F.sum(F.col("weight") * F.col("_length")).alias("_mass"))

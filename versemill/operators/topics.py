@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versemill.operators.coherence import topic_coherence
+from versemill.operators.topic_bound import likelihood_bound
 from versemill.operators.vocabulary import vectorize, vocabulary_terms
 from versemill.staging import stage
 
@@ -151,12 +152,13 @@ def lda_dominant_topic(fitted: TopicModel, documents: DataFrame, key: str = "id"
 
 def lda_perplexity(fitted: TopicModel, documents: DataFrame) -> float:
     """Per-word likelihood bound; higher is better."""
-    return -fitted.model.logPerplexity(documents)
+    bound, tokens = likelihood_bound(fitted.model, documents)
+    return bound / tokens
 
 
 def lda_log_likelihood(fitted: TopicModel, documents: DataFrame) -> float:
     """Likelihood bound of the whole document set."""
-    return fitted.model.logLikelihood(documents)
+    return likelihood_bound(fitted.model, documents)[0]
 
 
 def _settings_frame(spark: SparkSession, settings: Sequence[tuple[int, str, str]]) -> DataFrame:

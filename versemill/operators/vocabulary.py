@@ -97,7 +97,16 @@ def vocabulary_terms(vocabulary: DataFrame, max_terms: int = MAX_MODEL_TERMS) ->
 
 def vectorize(df: DataFrame, terms: Sequence[str], column: str = "tokens", output: str = "features") -> DataFrame:
     """Append term-count vectors."""
-    model = CountVectorizerModel.from_vocabulary(list(terms), inputCol=column, outputCol=output)
+    spark, joined = df.sparkSession, "\n".join(terms)
+    if joined.count("\n") == len(terms) - 1 and all(terms):
+        # a vocabulary sent as one text: from_vocabulary makes a call per term
+        strings = spark._jvm.java.util.regex.Pattern.compile("\n").split(joined)
+        model = CountVectorizerModel._create_from_java_class(
+            "org.apache.spark.ml.feature.CountVectorizerModel", strings
+        )
+        model._set(inputCol=column, outputCol=output)
+    else:
+        model = CountVectorizerModel.from_vocabulary(list(terms), inputCol=column, outputCol=output)
     return model.transform(df)
 
 
