@@ -23,6 +23,9 @@ from versemill.staging import stage
 # Default training settings.
 N_TOPICS, PASSES, CHUNK_SIZE = 10, 30, 2000
 
+# steps of a pass where no chunk size is given: a step is a job, so its size grows instead
+STEPS_PER_PASS = 50
+
 
 @dataclass(frozen=True)
 class Corpus:
@@ -79,7 +82,7 @@ def lda_fit(
     corpus: Corpus,
     k: int = N_TOPICS,
     passes: int = PASSES,
-    chunksize: int = CHUNK_SIZE,
+    chunksize: int | None = None,
     alpha: str = "symmetric",
     eta: str = "symmetric",
     seed: int = 0,
@@ -88,11 +91,13 @@ def lda_fit(
     """Fit one model by online variational Bayes.
 
     A pass over the corpus is ``documents / chunksize`` steps, each on a random sample of
-    about ``chunksize`` documents. MLlib cannot learn the term prior, so ``eta="auto"``
+    about ``chunksize`` documents; by default ``CHUNK_SIZE``, or more in a large corpus. MLlib cannot learn the term prior, so ``eta="auto"``
     uses the symmetric value. ``features`` may pass vectors that are cached for several fits.
     """
     if eta not in ("symmetric", "auto"):
         raise ValueError(f"unknown eta {eta!r}")
+    if chunksize is None:
+        chunksize = max(CHUNK_SIZE, math.ceil(corpus.n_docs / STEPS_PER_PASS))
     steps = passes * max(1, math.ceil(corpus.n_docs / chunksize))
     documents = corpus.documents.select("features") if features is None else features
     lda = LDA(

@@ -43,7 +43,8 @@ def lda_by_decade(
 
     Tokens are written once, partitioned by decade, so each model reads its own decade.
     """
-    staged = stage(df.select("id", "decade", "tokens").where(F.col("decade").isin(*decades)), "decades")
+    wanted = df.select("id", "decade", "tokens").where(F.col("decade").isin(*decades))
+    staged = stage(wanted, "decades", partition_by="decade")
     present = {row.decade for row in staged.select("decade").distinct().collect()}
     runs = []
     for decade in decades:

@@ -35,10 +35,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/versemill/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once and continue from the written table."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
