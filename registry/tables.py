@@ -224,18 +224,36 @@ def _(spark, sf):
     return profile.distinct_years(songs(spark, sf))
 
 
-_STEPS = (
-    "SELECT 'input' AS step, count(*) AS n_rows FROM songs"
-    " UNION ALL SELECT 'year', count(*) FROM songs WHERE year > 1960 AND year <= 2024"
-    " UNION ALL SELECT 'genre', count(*) FROM songs WHERE year > 1960 AND year <= 2024 AND tag <> 'misc'"
-    " UNION ALL SELECT 'lyrics', count(*) FROM songs WHERE year > 1960 AND year <= 2024 AND tag <> 'misc'"
-    " AND lyrics IS NOT NULL"
-)
-
-
-@query("step_counts", songs_sql(_STEPS))
+def _steps_sql(job: str, steps: dict[str, str]) -> str:
+    passed, counts = [], []
+    for step, condition in steps.items():
+        passed.append(f"({condition})")
+        counts.append(f"SELECT '{job}' AS job, '{step}' AS step, count(*) AS n_rows FROM songs WHERE {' AND '.join(passed)}")
+    return " UNION ALL ".join(counts)
+
+
+_ETL_STEPS = {
+    "input": "true",
+    "year": "year > 1960 AND year <= 2024",
+    "genre": "tag <> 'misc'",
+    "lyrics": "lyrics IS NOT NULL",
+}
+_CORPUS_STEPS = {
+    "input": "true",
+    "language": "language = 'en'",
+    "genre": "tag = 'rap'",
+    "year": "year BETWEEN 1960 AND 2024",
+    "lyrics": "lyrics IS NOT NULL",
+    "artist": "artist NOT LIKE 'Genius%'",
+}
+
+
+@query("step_counts", songs_sql(_steps_sql("songs", _ETL_STEPS) + " UNION ALL " + _steps_sql("corpus", _CORPUS_STEPS)))
 def _(spark, sf):
-    return profile.step_counts(songs(spark, sf), etl.prefilter_steps())
+    df = songs(spark, sf)
+    jobs = {"songs": etl.prefilter_steps(), "corpus": corpus_plan.corpus_steps()}
+    counts = [profile.step_counts(df, steps).select(F.lit(job).alias("job"), "*") for job, steps in jobs.items()]
+    return batch_source.union_batches(*counts)
 
 
 # --- projections, filters, columns -----------------------------------------------------

@@ -7,8 +7,11 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
 from registry.base import songs
 from tests.conftest import rows
+from tests.oracle import connect, difference
+from versemill import joins
 from versemill.joins import fits_in_memory, join_lookup
 from versemill.operators import lexicons, phrases, sampling, vocabulary
 from versemill.operators.columns import add_decade
@@ -62,6 +65,24 @@ def tokens_frame(spark, lists):
 LISTS = [["a", "b", "a", "b", "c"], [], None, ["b", "b", "b"], ["x"], ["a", "b", "c", "d"], ["c", "a"]]
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["keep_prolific_artists", "sample_balanced", "group_count_per_row", "bigram_pmi", "filter_trigrams", "bag_of_words"],
+)
+def test_operators_without_any_broadcast_lookup(spark, monkeypatch, name):
+    # every lookup is too large, and many keys count as hot
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(joins, "HOT_SHARE", 10)
+    assert difference(queries()[name](spark, SF), connect(SF), oracle_sql()[name]) in (None, "no rows")
+
+
+def test_first_entry_of_a_word_counts(spark):
+    df = tokens_frame(spark, [["a", "b"]])
+    lemmas = spark.createDataFrame([("a", "y"), ("a", "x")], "word string, lemma string")
+    for limit in (10, 0):
+        assert lexicons.lemmatize(df, lemmas, max_rows=limit).first().tokens == ["x", "b"]
+
+
 def test_lexicon_paths_agree(spark):
     df = tokens_frame(spark, LISTS)
     lemmas = spark.createDataFrame([("a", "A"), ("c", None), ("d", "d"), ("b", "B")], "word string, lemma string")

@@ -222,6 +222,8 @@ def test_grid_and_best_model(corpus):
     ]
     best = topics.best_model(results, models)
     assert max(r.coherence for r in got) == next(r.coherence for r in got if models[r.model] is best)
+    again, _ = topics.lda_grid_search(corpus, range(2, 4), passes=1, parallelism=2)
+    assert [r.coherence for r in again.orderBy("model").collect()] == pytest.approx([r.coherence for r in got])
     # scoring all models in one pass equals scoring one alone
     alone = coherence_cv(corpus.documents, topics.lda_topic_terms(models[1], 20)).first()[0]
     assert alone == pytest.approx(got[1].coherence)

@@ -13,6 +13,9 @@ from versemill.staging import stage
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
+# Bound for lookups held by Python workers, where an entry takes several times its bytes.
+PYTHON_ROWS = 300_000
+
 # A key with more than 1/HOT_SHARE of all rows is hot, so there are fewer than HOT_SHARE
 # hot keys whatever the data. Rows of a hot key are spread over SALTS partitions.
 HOT_SHARE = 500

@@ -95,7 +95,7 @@ def _filter_ngrams(
     words = [f"w{i}" for i in range(1, n + 1)]
     barred = sorted({*stop_words, *REMNANTS})
     grams = grams.where((F.col("pmi") > min_pmi) & ~reduce(lambda a, b: a | b, [F.col(w).isin(barred) for w in words]))
-    tags = stage(lexicon.select("word", "tag"), "tags")
+    tags = stage(lexicon.groupBy("word").agg(F.min("tag").alias("tag")), "tags")
     for i, word in enumerate(words[:2], 1):
         part = tags.select(F.col("word").alias(word), F.col("tag").alias(f"t{i}"))
         grams = join_lookup(grams, part, [word], spread_by=words, how="left", staged=True)

@@ -8,8 +8,9 @@ from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -177,16 +178,26 @@ def lda_grid_search(
     alphas: Sequence[str] = ("symmetric", "asymmetric"),
     etas: Sequence[str] = ("symmetric",),
     top_words: int = 20,
+    parallelism: int = 1,
     **training: int,
 ) -> tuple[DataFrame, list[TopicModel]]:
     """Fit a model per setting and score them all in one pass over the texts.
 
-    Returns ``(model, topics, alpha, eta, coherence)`` and the models in that order.
+    ``parallelism`` fits run at a time, for clusters that one fit does not fill. Returns ``(model, topics, alpha, eta, coherence)`` and the models in that order.
     """
     settings = [(k, a, e) for k in ks for a in alphas for e in etas]
-    with cached(corpus.documents.select("features")) as features:
-        models = [lda_fit(corpus, k, alpha=a, eta=e, features=features, **training) for k, a, e in settings]
     spark = corpus.documents.sparkSession
+    with cached(corpus.documents.select("features")) as features:
+
+        def fit(setting: tuple[int, str, str]) -> TopicModel:
+            k, a, e = setting
+            return lda_fit(corpus, k, alpha=a, eta=e, features=features, **training)
+
+        if parallelism == 1:
+            models = [fit(s) for s in settings]
+        else:
+            with ThreadPool(min(parallelism, len(settings))) as pool:
+                models = pool.map(inheritable_thread_target(spark)(fit), settings)
     words = [
         lda_topic_terms(fitted, top_words).withColumn("topic", F.struct(F.lit(i).alias("model"), "topic"))
         for i, fitted in enumerate(models)
