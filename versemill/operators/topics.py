@@ -92,8 +92,9 @@ def lda_fit(
     """Fit one model by online variational Bayes.
 
     A pass over the corpus is ``documents / chunksize`` steps, each on a random sample of
-    about ``chunksize`` documents; by default ``CHUNK_SIZE``, or more in a large corpus. MLlib cannot learn the term prior, so ``eta="auto"``
-    uses the symmetric value. ``features`` may pass vectors that are cached for several fits.
+    about ``chunksize`` documents; by default ``CHUNK_SIZE``, or more in a large corpus.
+    MLlib cannot learn the term prior, so ``eta="auto"`` uses the symmetric value.
+    ``features`` may pass vectors that are cached for several fits.
     """
     if eta not in ("symmetric", "auto"):
         raise ValueError(f"unknown eta {eta!r}")
@@ -183,7 +184,8 @@ def lda_grid_search(
 ) -> tuple[DataFrame, list[TopicModel]]:
     """Fit a model per setting and score them all in one pass over the texts.
 
-    ``parallelism`` fits run at a time, for clusters that one fit does not fill. Returns ``(model, topics, alpha, eta, coherence)`` and the models in that order.
+    ``parallelism`` fits run at a time, for clusters that one fit does not fill. Returns
+    ``(model, topics, alpha, eta, coherence)`` and the models in that order.
     """
     settings = [(k, a, e) for k in ks for a in alphas for e in etas]
     spark = corpus.documents.sparkSession
