@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -60,14 +61,15 @@ def add_columns(
     kernel: Callable[[list[str]], Mapping[str, object]],
     fields: str,
     text_col: str = "text",
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """All columns of ``docs`` and those that ``kernel`` makes of a list of texts.
+    """The columns ``keep`` (or all) of ``docs`` and those that ``kernel`` makes of a list of texts.
 
     ``fields`` is the DDL of the new columns, which must not clash with those of ``docs``.
     """
     extra = StructType.fromDDL(fields)
-    schema = StructType(docs.schema.fields + extra.fields)
-    names = docs.columns
+    names = docs.columns if keep is None else keep
+    schema = StructType([docs.schema[n] for n in names] + extra.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -97,3 +99,75 @@ def restrict(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFra
     ids = ids.select(F.col("doc_id").alias("_listed")).distinct()
     small = fits_in_memory(ids)
     return docs.join(F.broadcast(ids) if small else ids, same_id(docs["doc_id"], F.col("_listed")), how)
+
+
+# --- hashed words ----------------------------------------------------------------------
+
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
+_MASK = (1 << 64) - 1
+_powers: dict[int, np.ndarray] = {}
+
+
+def _powers_of(base: int, count: int) -> np.ndarray:
+    """``base ** 0 … base ** (count - 1)`` modulo 2 ** 64."""
+    have = _powers.get(base)
+    if have is None or len(have) < count:
+        have = np.full(max(count, 1 << 16), base, np.uint64)
+        have[0] = 1
+        _powers[base] = have = np.multiply.accumulate(have)
+    return have[:count]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts behind each other and the offsets of each; null counts as empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if data is None or len(offsets) == 0:
+        return np.empty(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def word_hashes(texts: pa.Array, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, and the first word of each text (one more at the end).
+
+    ``letters`` maps each byte to the byte that is hashed, 0 for bytes between words. The
+    hash is a polynomial in the word's bytes, taken from running sums over all texts.
+    """
+    data, offsets = text_bytes(texts)
+    mapped = letters[data]
+    inside = np.empty(len(mapped) + 1, bool)
+    inside[:-1], inside[-1] = mapped != 0, False
+    cut = np.zeros(len(mapped) + 1, bool)
+    cut[offsets] = True
+    before = np.empty(len(mapped), bool)
+    before[:1], before[1:] = False, inside[: max(0, len(mapped) - 1)]
+    starts = np.flatnonzero(inside[:-1] & (~before | cut[:-1]))
+    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | cut[1:])) + 1
+    sums = np.zeros(len(mapped) + 1, np.uint64)
+    np.cumsum(mapped * _powers_of(_BASE, len(mapped)), out=sums[1:], dtype=np.uint64)
+    inverse = _powers_of(pow(_BASE, -1, 1 << 64), len(mapped))
+    return mix((sums[ends] - sums[starts]) * inverse[starts]), np.searchsorted(starts, offsets)
+
+
+def plain_letters() -> np.ndarray:
+    """Words between ASCII white space, ASCII letters in lower case."""
+    table = np.arange(256, dtype=np.uint8)
+    table[ord("A") : ord("Z") + 1] += 32
+    table[[0x20, *range(0x09, 0x0E)]] = 0
+    return table
+
+
+def alphanumeric_letters() -> np.ndarray:
+    """Words of ASCII letters and digits and of all characters beyond ASCII, in lower case."""
+    table = plain_letters()
+    other = [b for b in range(128) if not chr(b).isalnum()]
+    table[other] = 0
+    return table

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versemill.llm import exact_dedup, minhash, packing
+from versemill.llm import exact_dedup, minhash, packing, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,3 +87,20 @@ def op7_minhash(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
+
+
+# --- toxicity --------------------------------------------------------------------------
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.train_toxicity(docs, table(spark, sf, "labels"))
+    scored = toxicity.score_toxicity(docs, model, keep=["doc_id"])
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+        F.size("toxic_spans").alias("n_spans"),
+    )
