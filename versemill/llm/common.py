@@ -21,7 +21,7 @@ from versemill.staging import stage
 
 # Texts in one step of a Python worker: its arrays stay near this many bytes times a small
 # factor, unless one text alone is longer.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 1_000_000
 
 
 def read_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versemill.llm import exact_dedup, minhash, packing, toxicity
+from versemill.llm import decontamination, exact_dedup, minhash, packing, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,3 +104,11 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
         F.size("toxic_spans").alias("n_spans"),
     )
+
+
+# --- benchmark decontamination ---------------------------------------------------------
+
+
+@query("op9_decontamination")
+def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
