@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versemill.llm import decontamination, exact_dedup, minhash, packing, toxicity
+from versemill.llm import decontamination, exact_dedup, language, minhash, packing, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,3 +112,41 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_decontamination")
 def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+# --- quality ---------------------------------------------------------------------------
+
+
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.train_quality(docs, table(spark, sf, "labels"))
+    return quality.score_quality(docs, model, keep=["doc_id"]).select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("quality").alias("score"),
+        (F.col("quality") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+# --- language --------------------------------------------------------------------------
+
+
+@query("op8_language")
+def op8_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    profiles = language.learn_profiles(docs)
+    return language.identify_language(docs.select("doc_id", "text"), profiles, keep=["doc_id"]).select(
+        "doc_id",
+        language.held_out(F.col("doc_id")).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+    )
+
+
+# --- sharding --------------------------------------------------------------------------
+
+
+@query("op6_sharding")
+def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf, "documents"), shards=40)

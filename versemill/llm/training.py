@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,11 @@ def labelled_sample(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_chars: int | None = None,
-) -> tuple[list[tuple[str, int, float]], dict[int, int]]:
-    """``(text, label, weight)`` of at most ``most[label]`` documents per label, and all label counts.
+    shape: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[list[tuple], dict[int, int]]:
+    """``(value, label, weight)`` of at most ``most[label]`` documents per label, and all label counts.
+
+    The value is the text, or what ``shape`` makes of ``(doc_id, text)`` as the column ``value``.
 
     Only documents outside the fold ``held_out`` count. The sample takes the ids with the
     smallest hashes, so it does not depend on the partitions; the weight of a document is
@@ -39,14 +44,10 @@ def labelled_sample(
     sample = []
     for label, limit in sorted(most.items()):
         chosen = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-        rows = (
-            texts.join(F.broadcast(chosen), "doc_id")  # at most ``limit`` ids
-            .where(usable)
-            .select("doc_id", "text")
-            .dropDuplicates(["doc_id"])
-            .collect()
-        )
+        found = texts.join(F.broadcast(chosen), "doc_id").where(usable)  # at most ``limit`` ids
+        found = found.select("doc_id", "text").dropDuplicates(["doc_id"])
+        rows = shape(found).collect() if shape else found.select("doc_id", F.col("text").alias("value")).collect()
         rows.sort(key=lambda r: r["doc_id"])
         weight = counts.get(label, 0) / len(rows) if rows else 0.0
-        sample += [(r["text"], label, weight) for r in rows]
+        sample += [(r["value"], label, weight) for r in rows]
     return sample, counts
