@@ -57,7 +57,7 @@ def _split_giants(giants: list, capacity: float, shards: int) -> dict[tuple, lis
         left, parts = float(row["bytes"]), []
         while left > 0:
             shard = int(free.argmax())
-            take = min(left, free[shard]) if free[shard] > 0 else left
+            take = min(left, float(free[shard])) if free[shard] > 0 else left
             free[shard] -= take
             left -= take
             parts.append((1 - left / row["bytes"], shard))
@@ -76,25 +76,31 @@ def _propagate(linked: DataFrame, capacity: float, other: np.ndarray, shards: in
         load = _loads(linked, shards) + other
         free = capacity - load
         roomy = [bool(f > 0) for f in free]
+        over = [bool(f < 0) for f in free]
+        rooms = [i for i, r in enumerate(roomy) if r]
+        if not rooms:
+            break
         weight = linked.groupBy("key", "size", "shard").agg(F.sum("size").alias("weight"))
         tie = F.xxhash64("key", "shard")
         choice = F.struct("weight", tie.alias("tie"), "shard")
         best = weight.groupBy("key", "size").agg(
             F.max(choice).alias("most"), F.max(F.when(_at(roomy, F.col("shard"), "boolean"), choice)).alias("open")
         )
+        by_hash = _at(rooms, F.pmod(F.col("key"), F.lit(len(rooms))).cast("int"), "int")
         best = stage(
             best.select(
                 "key",
                 "size",
                 F.col("most.shard").alias("most"),
                 F.when(_at(roomy, F.col("most.shard"), "boolean"), F.col("most.shard"))
-                .otherwise(F.col("open.shard"))
+                .otherwise(F.coalesce(F.col("open.shard"), by_hash))
                 .alias("target"),
             ),
             "shard-wishes",
         )
         wished = linked.join(best, ["key", "size"]).withColumn("lot", _lot("key", F.lit(number)))
-        moves = (F.col("shard") != F.col("most")) & F.col("target").isNotNull() & (F.col("shard") != F.col("target"))
+        leaves = (F.col("shard") != F.col("most")) | _at(over, F.col("most"), "boolean")
+        moves = leaves & (F.col("shard") != F.col("target"))
         wished = stage(wished.withColumn("moves", moves), "shard-moves")
         lots = _granted(wished.where("moves").select("target", "lot", "size"), free)
         granted = F.col("moves") & (F.col("lot") < _at(lots, F.col("target"), "int"))
@@ -110,31 +116,45 @@ def _propagate(linked: DataFrame, capacity: float, other: np.ndarray, shards: in
     return linked
 
 
-def _fill(pool: DataFrame, free: np.ndarray) -> DataFrame:
+def _fill(pool: DataFrame, capacity: float, load: np.ndarray) -> DataFrame:
     """Deal the rows of ``pool`` so that every shard takes its share of the free bytes.
 
-    Rows stand in the order of their lots; a row goes to the shard in whose part of the
-    running sum it begins. Only sums per lot reach the driver.
+    Large rows go first, so that smaller ones level what they leave uneven. Rows stand in
+    the order of their lots; a row goes to the shard in whose part of the running sum its
+    middle lies. Only sums per lot reach the driver.
     """
-    sums = np.zeros(_LOTS)
-    for row in pool.groupBy("lot").agg(F.sum("size").alias("size")).collect():
-        sums[row["lot"]] = row["size"]
-    before = np.concatenate([[0], np.cumsum(sums)[:-1]])
-    total = sums.sum()
-    room = np.maximum(free, 0)
-    ends = np.cumsum(room) * (total / room.sum() if room.sum() else 0)
-    starts = pool.sparkSession.createDataFrame(
-        [(i, float(b)) for i, b in enumerate(before)], "lot int, before double"
-    )
-    earlier = Window.partitionBy("lot").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.col("before") + F.coalesce(F.sum("size").over(earlier), F.lit(0)) + F.col("size") / 2
-    bounds = F.array(*(F.lit(float(e)) for e in ends[:-1]))
-    return (
-        pool.join(F.broadcast(starts), "lot")
-        .withColumn("at", at)
-        .withColumn("shard", F.size(F.filter(bounds, lambda e: e <= F.col("at"))))
-        .select("row", "shard")
-    )
+    limits = (capacity / 8, capacity / 64, capacity / 512)
+    level = sum((F.col("size") < limit).cast("int") for limit in limits)
+    pool = stage(pool.withColumn("level", level), "shard-pool")
+    sums = np.zeros((len(limits) + 1, _LOTS))
+    for row in pool.groupBy("level", "lot").agg(F.sum("size").alias("size")).collect():
+        sums[row["level"], row["lot"]] = row["size"]
+    filled = pool.select("row", F.lit(0).alias("shard")).limit(0)
+    for number in range(len(sums)):
+        total = float(sums[number].sum())
+        if not total:
+            continue
+        # the levels before, this one and the later ones together fill all shards evenly
+        room = np.maximum(capacity - load, 0)
+        ends = np.cumsum(room) * (total / room.sum() if room.sum() else 0)
+        before = np.concatenate([[0], np.cumsum(sums[number])[:-1]])
+        starts = pool.sparkSession.createDataFrame(
+            [(i, float(b)) for i, b in enumerate(before)], "lot int, before double"
+        )
+        earlier = Window.partitionBy("lot").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+        at = F.col("before") + F.coalesce(F.sum("size").over(earlier), F.lit(0)) + F.col("size") / 2
+        bounds = F.array(*(F.lit(float(e)) for e in ends[:-1]))
+        dealt = stage(
+            pool.where(F.col("level") == number)
+            .join(F.broadcast(starts), "lot")
+            .withColumn("at", at)
+            .withColumn("shard", F.size(F.filter(bounds, lambda e: e <= F.col("at"))))
+            .select("row", "size", "shard"),
+            "shard-dealt",
+        )
+        load = load + _loads(dealt, len(load))
+        filled = filled.union(dealt.select("row", "shard"))
+    return filled
 
 
 def shard_documents(
@@ -198,7 +218,7 @@ def shard_documents(
         placed = placed.union(giants)
     placed = stage(placed, "shard-placed")
     pool = rows.join(placed.select("row"), "row", "left_anti").select("row", "size", _lot("row").alias("lot"))
-    filled = _fill(pool, capacity - _loads(placed, shards))
+    filled = _fill(pool, capacity, _loads(placed, shards))
     labels = stage(placed.select("row", "shard").union(filled), "shard-all")
     return _numbered_slots(rows.join(labels, "row"))
 
