@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versemill.llm import decontamination, exact_dedup, language, minhash, packing, quality, sharding, toxicity
+from versemill.llm import decontamination, exact_dedup, language, minhash, packing, pii, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -150,3 +150,11 @@ def op8_language(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_sharding")
 def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf, "documents"), shards=40)
+
+
+# --- personal data ---------------------------------------------------------------------
+
+
+@query("op4_pii")
+def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(table(spark, sf, "documents")))
