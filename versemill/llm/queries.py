@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versemill.llm import decontamination, exact_dedup, language, minhash, packing, pii, quality, sharding, toxicity
+from versemill.llm import decontamination, exact_dedup, language, minhash, packing, pii, quality, sharding, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -158,3 +158,33 @@ def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_pii")
 def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf, "documents")))
+
+
+# --- repeated passages -----------------------------------------------------------------
+
+_REPEATS_SQL = """
+WITH texts AS (
+  SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM texts WHERE n >= 50)),
+firsts AS (SELECT s, min(doc_id) AS f FROM windows GROUP BY s),
+repeats AS (SELECT doc_id, p FROM windows JOIN firsts USING (s) WHERE f < doc_id),
+places AS (
+  SELECT doc_id, substr(h, 2 * i + 1, 2) AS c, i FROM (SELECT doc_id, h, unnest(range(0, n)) AS i FROM texts)),
+marked AS (
+  SELECT b.doc_id, i, c, count(r.p) OVER (PARTITION BY b.doc_id ORDER BY i ROWS 49 PRECEDING) > 0 AS gone
+  FROM places b LEFT JOIN repeats r ON r.doc_id = b.doc_id AND r.p = b.i),
+edged AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM marked),
+kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans,
+    string_agg(c, '' ORDER BY i) FILTER (NOT gone) AS h FROM edged GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(k.h, ''))) AS kept_sha256
+FROM texts LEFT JOIN kept k USING (doc_id)"""
+
+
+@query("op2_suffix_dedup", _REPEATS_SQL)
+def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents"))
