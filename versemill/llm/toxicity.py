@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,8 +13,8 @@ from versemill.llm.common import add_columns, fold
 from versemill.llm.training import labelled_sample
 
 # Documents of each label that the field is trained on, and their greatest length.
-SAMPLE = {1: 2500, 0: 6000}
-SAMPLE_CHARS = 20_000
+SAMPLE = {1: 1500, 0: 4500}
+SAMPLE_CHARS = 12_000
 
 # A word or prefix marks tokens of toxic documents when its log-likelihood ratio and its
 # excess of toxic over clean documents reach these values.
@@ -24,7 +23,10 @@ LEAST_RATIO, LEAST_LIFT = 22.0, 8.0
 FOLDS, HELD_OUT = 5, 0
 
 _EDGES = ".,!?;:\"'()[]{}<>*&%$#@-_/\\…«»„“”‘’¿¡"
-_REMEMBERED = 400_000
+_REMEMBERED = 200_000
+
+# Tokens of one block of the training.
+_TRAIN_TOKENS = 200_000
 
 
 def _features(raw: str) -> list[str]:
@@ -35,33 +37,52 @@ def _features(raw: str) -> list[str]:
     return ["=" + word, *(f"{n}{word[:n]}" for n in (3, 4, 5, 6) if len(word) >= n), "<" + word[-3:]]
 
 
-def _token_markers(texts: list[list[str]], toxic: list[bool]) -> set[str]:
-    """Features that tell toxic documents from clean ones: their tokens get the label 1."""
-    positive: Counter[str] = Counter()
-    negative: Counter[str] = Counter()
-    known: dict[str, list[str]] = {}
-    for tokens, is_toxic in zip(texts, toxic):
-        seen: set[str] = set()
-        for token in set(tokens):
-            if token not in known:
-                known[token] = [f for f in _features(token) if f[0] != "<"]
-            seen.update(known[token])
-        (positive if is_toxic else negative).update(seen)
-    n1, n0 = sum(toxic), len(toxic) - sum(toxic)
-    markers = set()
-    for feature, k1 in positive.items():
-        k0 = negative.get(feature, 0)
-        if (k1 / n1) / ((k0 + 0.5) / (n0 + 1)) < LEAST_LIFT:
-            continue
+class _Sample:
+    """Tokens of the sampled documents as numbers, and the features of each kind of token."""
+
+    def __init__(self, texts: list[str]):
+        kinds: dict[str, int] = {}
+        self.documents = [
+            np.array([kinds.setdefault(t, len(kinds)) for t in text.split()], np.int32) for text in texts
+        ]
+        names: dict[str, int] = {}
+        owner: list[int] = []
+        feature: list[int] = []
+        for token, number in kinds.items():
+            for name in _features(token):
+                owner.append(number)
+                feature.append(names.setdefault(name, len(names)))
+        self.kinds = len(kinds)
+        self.names = list(names)
+        self.owner, self.feature = np.array(owner, np.int32), np.array(feature, np.int32)
+        self._begin = np.searchsorted(self.owner, np.arange(self.kinds + 1))
+
+    def features_of(self, kinds: np.ndarray) -> np.ndarray:
+        """All features of some kinds of token."""
+        parts = [self.feature[self._begin[k] : self._begin[k + 1]] for k in np.unique(kinds).tolist()]
+        return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int32)
+
+    def marked(self, toxic: np.ndarray) -> np.ndarray:
+        """Kinds of token that tell toxic documents from clean ones: these tokens get the label 1.
+
+        A feature is a marker by its document counts alone; last letters are none.
+        """
+        held = np.zeros((2, len(self.names)), np.int64)
+        for document, is_toxic in zip(self.documents, toxic.astype(int).tolist()):
+            held[is_toxic, self.features_of(document)] += 1
+        n1, n0 = int(toxic.sum()), int((~toxic).sum())
+        k1, k0 = held[1].astype(float), held[0].astype(float)
         share = (k1 + k0) / (n1 + n0)
-        ratio = sum(
-            2 * k * math.log(k / n / p)
-            for k, n, p in ((k1, n1, share), (n1 - k1, n1, 1 - share), (k0, n0, share), (n0 - k0, n0, 1 - share))
-            if k
-        )
-        if ratio >= LEAST_RATIO:
-            markers.add(feature)
-    return markers
+        ratio = np.zeros(len(k1))
+        for k, n, p in ((k1, n1, share), (n1 - k1, n1, 1 - share), (k0, n0, share), (n0 - k0, n0, 1 - share)):
+            some = k > 0
+            ratio[some] += 2 * k[some] * np.log(k[some] / n / p[some])
+        lift = (k1 / n1) / ((k0 + 0.5) / (n0 + 1))
+        markers = (ratio >= LEAST_RATIO) & (lift >= LEAST_LIFT)
+        markers &= np.array([not name.startswith("<") for name in self.names], bool)
+        out = np.zeros(self.kinds, bool)
+        out[self.owner[markers[self.feature]]] = True
+        return out
 
 
 class _Chains:
@@ -159,39 +180,46 @@ def _summaries(chances: list[np.ndarray]) -> np.ndarray:
     return np.array([(c.max(initial=0.0), math.log1p(c.sum())) for c in chances]).reshape(-1, 2)
 
 
-def _train_field(tokens: list[list[str]], marked: list[np.ndarray], model: ToxicityModel, rounds: int) -> None:
-    """Maximum likelihood with a ridge penalty, by Adam over all tokens of the sample."""
-    types: dict[str, int] = {}
-    flat = np.array([types.setdefault(t, len(types)) for some in tokens for t in some], np.int64)
-    target = np.concatenate(marked) if marked else np.empty(0)
-    names: dict[str, int] = {}
-    pairs = [(i, names.setdefault(f, len(names))) for t, i in types.items() for f in _features(t)]
-    owner, feature = (np.array(c, np.int64) for c in zip(*pairs)) if pairs else (np.empty(0, np.int64),) * 2
-    chains = _Chains(np.array([len(t) for t in tokens], np.int64))
-    starts = np.cumsum([0] + [len(t) for t in tokens[:-1]]) if tokens else np.empty(0, np.int64)
-    starts = starts[np.array([len(t) > 0 for t in tokens], bool)]
-    inner = np.ones(len(flat), bool)
-    inner[starts] = False
-    later = np.flatnonzero(inner)
-    was, now = target[later - 1], target[later]
-    seen = np.array([target[starts].sum(), ((1 - was) * now).sum(), (was * (1 - now)).sum(), (was * now).sum()])
-    size = len(names)
-    weights = np.zeros(size + 5)
-    weights[size] = -6.0
+def _train_field(
+    sample: _Sample, documents: list[np.ndarray], labels: list[np.ndarray], model: ToxicityModel, rounds: int
+) -> None:
+    """Maximum likelihood with a ridge penalty, by Adam over all tokens of the documents."""
+    blocks = []
+    seen = np.zeros(4)
+    size, at = 0, 0
+    while at < len(documents):
+        end, size = at, 0
+        while end < len(documents) and (end == at or size + len(documents[end]) <= _TRAIN_TOKENS):
+            size += len(documents[end])
+            end += 1
+        lengths = np.array([len(d) for d in documents[at:end]], np.int64)
+        blocks.append((_Chains(lengths), np.concatenate(documents[at:end]), np.concatenate(labels[at:end])))
+        at = end
+    for label in labels:
+        if len(label):
+            was, now = label[:-1], label[1:]
+            seen += (label[0], ((1 - was) * now).sum(), (was * (1 - now)).sum(), (was * now).sum())
+    count = len(sample.names)
+    weights = np.zeros(count + 5)
+    weights[count] = -6.0
     first, second = np.zeros_like(weights), np.zeros_like(weights)
-    scale = max(1.0, target.sum())
+    scale = max(1.0, sum(float(label.sum()) for label in labels))
     for step in range(1, rounds + 1):
-        by_type = weights[size] + np.bincount(owner, weights[feature], len(types))
-        chance, expected = chains.marginals(by_type[flat], weights[size + 1 :])
-        error = np.bincount(flat, target - chance, len(types))
-        gradient = np.concatenate([np.bincount(feature, error[owner], size), [error.sum()], seen - expected]) / scale
+        by_kind = weights[count] + np.bincount(sample.owner, weights[sample.feature], sample.kinds)
+        error, expected = np.zeros(sample.kinds), np.zeros(4)
+        for chains, kinds, label in blocks:
+            chance, some = chains.marginals(by_kind[kinds], weights[count + 1 :])
+            error += np.bincount(kinds, label - chance, sample.kinds)
+            expected += some
+        by_feature = np.bincount(sample.feature, error[sample.owner], count)
+        gradient = np.concatenate([by_feature, [error.sum()], seen - expected]) / scale
         gradient -= 1e-4 * weights
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
         weights += 0.4 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    model.features = {n: float(weights[i]) for n, i in names.items() if abs(weights[i]) > 1e-3}
-    model.bias = float(weights[size])
-    model.steps = tuple(float(w) for w in weights[size + 1 :])
+    model.features = {n: float(weights[i]) for i, n in enumerate(sample.names) if abs(weights[i]) > 1e-3}
+    model.bias = float(weights[count])
+    model.steps = tuple(float(w) for w in weights[count + 1 :])
 
 
 def _fit_document(found: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
@@ -214,7 +242,7 @@ def train_toxicity(
     label_col: str = "toxic",
     sample: dict[int, int] | None = None,
     sample_chars: int = SAMPLE_CHARS,
-    rounds: int = 40,
+    rounds: int = 30,
 ) -> ToxicityModel:
     """Train on a bounded sample of the labelled documents outside the held-out fold.
 
@@ -233,23 +261,20 @@ def train_toxicity(
         share = min(max(share, 1e-3), 1 - 1e-3)
         model.document = (math.log(share / (1 - share)), 0.0, 0.0)
         return model
-    tokens = [text.split() for text, _, _ in rows]
-    toxic = [label == 1 for _, label, _ in rows]
-    markers = _token_markers(tokens, toxic)
-    is_marked = {t: any(f in markers for f in _features(t)) for t in {t for some in tokens for t in some}}
-    marked = [
-        np.array([is_toxic and is_marked[t] for t in some], float) for some, is_toxic in zip(tokens, toxic)
-    ]
-    # the field learns from every toxic document and as many clean ones
-    used, clean = [], 2 * sum(toxic)
-    for i, is_toxic in enumerate(toxic):
-        if is_toxic or clean > 0:
-            used.append(i)
-            clean -= not is_toxic
-    _train_field([tokens[i] for i in used], [marked[i] for i in used], model, rounds)
-    chances = model.tag([text for text, _, _ in rows])
+    toxic = np.array([label == 1 for _, label, _ in rows])
     weight = np.array([w for _, _, w in rows])
-    model.document = _fit_document(_summaries(chances), np.array(toxic, float), weight / weight.mean())
+    found = _Sample([text for text, _, _ in rows])
+    marked = found.marked(toxic)
+    # the field learns from every toxic document and as many clean ones
+    clean = np.flatnonzero(~toxic)[: int(toxic.sum())]
+    used = [*np.flatnonzero(toxic).tolist(), *clean.tolist()]
+    documents = [found.documents[i] for i in used]
+    labels = [(marked[d] & bool(toxic[i])).astype(float) for i, d in zip(used, documents)]
+    _train_field(found, documents, labels, model, rounds)
+    texts = [text for text, _, _ in rows]
+    del found, documents, labels
+    summaries = np.concatenate([_summaries(model.tag(texts[at : at + 200])) for at in range(0, len(texts), 200)])
+    model.document = _fit_document(summaries, toxic.astype(float), weight / weight.mean())
     return model
 
 
