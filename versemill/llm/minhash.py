@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from versemill.joins import fits_in_memory
-from versemill.llm.common import numbered, read_documents, restrict, steps
+from versemill.llm.common import mix, numbered, plain_letters, read_documents, restrict, steps, word_hashes
 from versemill.llm.components import connected_components
 from versemill.staging import stage
 
@@ -24,7 +25,6 @@ BANDS, ROWS = 30, 5
 STEP, MISS = 30, 1e-6
 
 _BLOCK = 2048
-_MASK = (1 << 64) - 1
 
 
 @lru_cache(maxsize=4)
@@ -34,39 +34,31 @@ def _constants(count: int) -> tuple[np.ndarray, np.ndarray]:
     return odd, random.integers(0, 1 << 63, count, dtype=np.uint64)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Shingler:
     """Sets of hashed word shingles: ASCII lower case, words between ASCII white space."""
 
     def __init__(self, words: int):
         self._words = words
-        self._hashes: dict[bytes, int] = {}
-        self._weights = _constants(64)[0]
-
-    def __call__(self, text: str) -> np.ndarray:
-        """The distinct shingles, sorted; fewer words than a shingle are one sequence."""
-        import xxhash
-
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self._hashes
-        if len(known) > 500_000:
-            known.clear()
-        for word in set(words).difference(known):
-            known[word] = xxhash.xxh3_64_intdigest(word)
-        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        size = min(self._words, len(words))
-        total = np.full(len(words) - size + 1, size, np.uint64)
+        self._weights = _constants(max(64, words))[0]
+        self._letters = plain_letters()
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The distinct shingles of each text, sorted; fewer words than a shingle are one sequence."""
+        hashes, firsts = word_hashes(texts, self._letters)
+        full = self._hashed(hashes, self._words)
+        out = []
+        for begin, end in zip(firsts[:-1].tolist(), firsts[1:].tolist()):
+            if end - begin >= self._words:
+                out.append(np.unique(full[begin : end - self._words + 1]))
+            else:
+                out.append(self._hashed(hashes[begin:end], end - begin)[: end > begin])
+        return out
+
+    def _hashed(self, hashes: np.ndarray, size: int) -> np.ndarray:
+        total = np.full(max(0, len(hashes) - size + 1), size, np.uint64)
         for k in range(size):
-            total = _mix(total * self._weights[k] + hashes[k : len(words) - size + 1 + k])
-        return np.unique(total)
+            total = mix(total * self._weights[k] + hashes[k : len(total) + k])
+        return total
 
 
 def signature(shingles: np.ndarray, count: int) -> np.ndarray:
@@ -85,7 +77,7 @@ def _band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
     bands = len(minima) // rows
     keys = np.arange(1, bands + 1, dtype=np.uint64)
     for column in minima[: bands * rows].reshape(bands, rows).T.astype(np.uint64):
-        keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + column)
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + column)
     return keys.view(np.int64)
 
 
@@ -108,8 +100,7 @@ def sign(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> D
         shingler = Shingler(words)
         for batch in steps(batches):
             made = []
-            for text in batch.column("text").to_pylist():
-                found = shingler(text or "")
+            for found in shingler(batch.column("text")):
                 minima = signature(found, count)
                 key1, key2 = set_key(found)
                 low1, low2 = _low_bits(minima)
@@ -131,8 +122,8 @@ def sign(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> D
 def set_key(shingles: np.ndarray) -> tuple[int, int]:
     """Two 64-bit sums that name a set."""
     with np.errstate(over="ignore"):
-        first = _mix(shingles).sum(dtype=np.uint64)
-        second = _mix(shingles ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)
+        first = mix(shingles).sum(dtype=np.uint64)
+        second = mix(shingles ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)
     return int(first.view(np.int64)), int(second.view(np.int64))
 
 
@@ -200,7 +191,7 @@ class _Classes:
     """Texts with the same shingle set as one class, and the exact test between classes."""
 
     def __init__(self, docs: DataFrame, words: int, percent: int, bands: int, rows: int, miss: float):
-        self._docs, self._words, self._percent, self._miss = docs, words, percent, miss
+        self._docs, self._words, self.percent, self._miss = docs, words, percent, miss
         self._count = bands * rows
         self.signed = numbered(sign(docs, words, bands, rows), "signed")
         # the row with the smallest id stands for its class
@@ -214,7 +205,18 @@ class _Classes:
         self.members = stage(members.withColumnRenamed("row", "class"), "minhash-members")
 
     def buckets(self) -> DataFrame:
-        return self.members.select("class", "n", "low1", "low2", F.explode("bands").alias("band"))
+        """``(class, n, low1, low2, band)`` of the buckets with several classes.
+
+        Buckets of one class, which are the most, go before anything is joined.
+        """
+        rows = self.members.select("class", F.explode("bands").alias("band"))
+        sizes = stage(rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "minhash-sizes")
+        small = fits_in_memory(sizes)
+        shared = stage(rows.join(F.broadcast(sizes) if small else sizes, "band"), "minhash-shared")
+        # how many classes a class meets: the middle of a group of copies meets the most
+        met = shared.groupBy("class").agg(F.sum("size").alias("met"))
+        sketches = self.members.select("class", "n", "low1", "low2")
+        return stage(shared.drop("size").join(met.join(sketches, "class"), "class"), "minhash-buckets")
 
     def plausible(self, a: str, b: str) -> Column:
         """The first step of the sequential test, on low bits, within the join."""
@@ -222,10 +224,10 @@ class _Classes:
         differ = sum(
             F.bit_count(F.col(f"{a}.low{i}").bitwiseXOR(F.col(f"{b}.low{i}"))) for i in (1, 2)
         )
-        most = _most_differing_bits(bits, self._percent / 100, self._miss)
-        return (differ <= most) & _similar_size(F.col(f"{a}.n"), F.col(f"{b}.n"), self._percent)
+        most = _most_differing_bits(bits, self.percent / 100, self._miss)
+        return (differ <= most) & _similar_size(F.col(f"{a}.n"), F.col(f"{b}.n"), self.percent)
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
+    def verify(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """The pairs ``(a, b)`` that are links: sequential test, then the whole sets."""
         minima = self.members.select("class", "minima")
         tested = _sequential_test(
@@ -233,53 +235,46 @@ class _Classes:
                 minima.select(F.col("class").alias("b"), F.col("minima").alias("minima_b")), "b"
             ),
             self._count,
-            self._percent,
+            self.percent,
             self._miss,
         )
         tested = stage(tested, "minhash-tested")
-        sets = stage(self._sets(tested), "minhash-sets")
+        if sets is None:
+            sets = self.sets(tested.select(F.explode(F.array("a", "b")).alias("class")).distinct())
         joined = tested.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a")), "a").join(
             sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b")), "b"
         )
-        percent = self._percent
+        common = F.size(F.array_intersect("set_a", "set_b"))
+        linked = 100 * common >= self.percent * (F.size("set_a") + F.size("set_b") - common)
+        return joined.where(linked).select("a", "b")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = []
-                for left, right in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-                    left, right = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                    both = len(np.intersect1d(left, right, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(left) + len(right) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        return joined.mapInArrow(run, "a long, b long")
-
-    def _sets(self, pairs: DataFrame) -> DataFrame:
-        """``(class, shingles)`` of all classes in the pairs, read from their first documents."""
-        classes = stage(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "minhash-involved")
+    def sets(self, classes: DataFrame) -> DataFrame:
+        """``(class, shingles)`` of the classes, read from their first documents and written."""
+        classes = stage(classes, "minhash-involved")
         named = self.members.join(classes, "class", "left_semi").select("class", "doc_id", "key1", "key2", "n")
         words = self._words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingler = Shingler(words)
             for batch in steps(batches):
-                sets = [shingler(t or "") for t in batch.column("text").to_pylist()]
+                sets = shingler(batch.column("text"))
                 keys = [set_key(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
+                        pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
                     ],
                     names=["n", "key1", "key2", "shingles"],
                 )
 
         named = stage(named, "minhash-named")
-        read = restrict(self._docs, named).mapInArrow(run, "n long, key1 long, key2 long, shingles binary")
+        read = restrict(self._docs, named).mapInArrow(run, "n long, key1 long, key2 long, shingles array<long>")
         # ids that repeat give some sets more than once
         keys = ["n", "key1", "key2"]
-        return read.join(named.drop("doc_id"), keys).select("class", "shingles").dropDuplicates(["class"])
+        found = read.join(named.drop("doc_id"), keys).select("class", "shingles").dropDuplicates(["class"])
+        return stage(found, "minhash-sets")
 
 
 def near_duplicates(
@@ -300,49 +295,57 @@ def near_duplicates(
     component: its smallest id, and of rows that repeat this id the first. Null ids come
     last; a component of null ids has a null ``component_id``.
 
-    Equal sets are one class. The classes of a band's bucket are first compared with the
-    bucket's least class only. What then still lies in different components of a bucket is
-    compared directly, all but the largest component with every other class. So copies of
-    one text never meet in pairs, and yet every candidate pair is tested or already joined.
-    A pair passes a test on low bits of its minima and the sizes, then the sequential test
+    Equal sets are one class. The classes of a band's bucket are first compared with one
+    class only, that which meets the most others in all its buckets. What then still lies
+    in different components of a bucket is joined by rare shingles (:func:`_links_across`).
+    So copies of one text never meet in pairs, and no link between classes of a bucket is
+    lost. A pair passes a test on low bits of its minima and the sizes, then the sequential test
     on all minima, which prunes a pair at the threshold with probability ``miss`` per step;
     links are confirmed on the full sets.
     """
     found = _Classes(read_documents(docs, id_col, text_col), words, percent, bands, rows, miss)
     buckets = found.buckets()
-    least = stage(
-        buckets.groupBy("band").agg(
-            F.min(F.struct("class", "n", "low1", "low2")).alias("hub"), F.count("*").alias("size")
-        ).where("size > 1"),
+    # the class that meets the most others is the one that links the most
+    middle = F.max(F.struct("met", (-F.col("class")).alias("order"), "class", "n", "low1", "low2"))
+    hubs = stage(
+        buckets.groupBy("band").agg(middle.alias("hub")).select("band", "hub.class", "hub.n", "hub.low1", "hub.low2"),
         "minhash-hubs",
-    ).select("band", F.col("hub.*")).alias("hub")
+    ).alias("hub")
     stars = (
         buckets.alias("one")
         .join(
-            least,
+            hubs,
             (F.col("one.band") == F.col("hub.band"))
             & (F.col("one.class") != F.col("hub.class"))
             & found.plausible("one", "hub"),
         )
-        .select(F.col("hub.class").alias("a"), F.col("one.class").alias("b"))
+        .select(
+            F.least("hub.class", "one.class").alias("a"), F.greatest("hub.class", "one.class").alias("b")
+        )
         .distinct()
     )
     links = stage(found.verify(stage(stars, "minhash-stars")), "minhash-links")
     joined = stage(connected_components(links), "minhash-joined")
-    rest = stage(_across_components(found, least, joined), "minhash-across")
-    if rest.head(1):
-        links = links.union(stage(found.verify(rest), "minhash-links"))
-        joined = stage(connected_components(links), "minhash-joined")
+    more = _links_across(found, buckets, joined)
+    if more is not None:
+        known = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        joined = stage(connected_components(known.union(more)), "minhash-joined")
     return _labelled(found, joined)
 
 
-def _across_components(found: _Classes, least: DataFrame, joined: DataFrame) -> DataFrame:
-    """Candidate pairs of different components that share a bucket."""
+def _links_across(found: _Classes, buckets: DataFrame, joined: DataFrame) -> DataFrame | None:
+    """Links between different components that share a bucket; None if all buckets have one component.
+
+    The classes of such buckets are joined by rare shingles: in any fixed order of the
+    shingles, two sets that are similar enough share one among their first
+    ``n - least + 1``, where ``least`` is the fewest shingles that the smaller must share.
+    The order goes by the number of sets that hold a shingle. So what many texts share, a
+    passage or the common part of an edited text, comes last and makes no pairs.
+    """
     labels = joined.select(F.col("node").alias("class"), "component")
     labels = F.broadcast(labels) if fits_in_memory(labels) else labels
     placed = stage(
-        found.buckets()
-        .join(least.select("band"), "band", "left_semi")
+        buckets.select("class", "n", "band")
         .join(labels, "class", "left")
         .withColumn("component", F.coalesce("component", "class")),
         "minhash-placed",
@@ -355,32 +358,42 @@ def _across_components(found: _Classes, least: DataFrame, joined: DataFrame) ->
         .select("band", "main"),
         "minhash-mixed",
     )
-    inside = placed.join(mixed, "band")
-    # sizes in powers of 1 / threshold: similar sets lie in the same or the next class
-    step = F.floor(F.log("n") / math.log(100 / found._percent)).cast("int")
-    inside = inside.withColumn("step", step)
-    others = (
-        inside.where("component <> main")
-        .withColumn("step", F.explode(F.array(*(F.col("step") + k for k in (-1, 0, 1)))))
-        .alias("one")
+    mixed = F.broadcast(mixed) if fits_in_memory(mixed) else mixed
+    # of a pair in one bucket at least one class is outside the main component
+    classes = stage(
+        placed.join(mixed, "band")
+        .groupBy("class", "n", "component")
+        .agg(F.max(F.col("component") != F.col("main")).alias("outside")),
+        "minhash-mixed-classes",
     )
-    every = inside.alias("all")
-    # a pair outside the main component is met from both sides, and taken once
-    once = (F.col("all.component") == F.col("all.main")) | (F.col("one.class") < F.col("all.class"))
-    return (
-        others.join(
-            every,
-            (F.col("one.band") == F.col("all.band"))
-            & (F.col("one.step") == F.col("all.step"))
-            & (F.col("one.component") != F.col("all.component"))
-            & once
-            & found.plausible("one", "all"),
-        )
-        .select(
-            F.least("one.class", "all.class").alias("a"), F.greatest("one.class", "all.class").alias("b")
-        )
-        .distinct()
+    if not classes.head(1):
+        return None
+    sets = found.sets(classes.select("class"))
+    tokens = sets.select("class", F.explode("shingles").alias("shingle"))
+    shared = tokens.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    known = stage(tokens.join(shared, "shingle"), "minhash-tokens")
+    rest = F.col("n") - F.ceil(F.col("n") * found.percent / 100) + 1
+    by_class, by_order = Window.partitionBy("class"), Window.partitionBy("class").orderBy("held", "shingle")
+    # shingles of one set only come first in the order and match nothing
+    alone = F.col("n") - F.count("*").over(by_class)
+    first = stage(
+        known.join(classes, "class")
+        .withColumn("place", F.row_number().over(by_order) + alone)
+        .where(F.col("place") <= rest)
+        .select("shingle", "class", "n", "component", "outside"),
+        "minhash-first-tokens",
     )
+    one, other = first.where("outside").alias("one"), first.alias("other")
+    # a pair of two outside classes is met from both sides, and taken once
+    once = ~F.col("other.outside") | (F.col("one.class") < F.col("other.class"))
+    pairs = one.join(
+        other,
+        (F.col("one.shingle") == F.col("other.shingle"))
+        & (F.col("one.component") != F.col("other.component"))
+        & once
+        & _similar_size(F.col("one.n"), F.col("other.n"), found.percent),
+    ).select(F.least("one.class", "other.class").alias("a"), F.greatest("one.class", "other.class").alias("b"))
+    return found.verify(stage(pairs.distinct(), "minhash-across"), sets)
 
 
 def _labelled(found: _Classes, joined: DataFrame) -> DataFrame:
