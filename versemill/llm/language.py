@@ -43,9 +43,10 @@ def gram_lists(texts: list[str]) -> list[np.ndarray]:
     codes = np.where(_letters()[codes], codes, _SPACE)
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != _SPACE) | (codes[:-1] != _SPACE)
+    ends = np.cumsum([len(t) + 1 for t in lowered])
+    keep[ends] = True  # the space before each text, also after the one that ends the last
     places = np.flatnonzero(keep)
     codes = codes[places]
-    ends = np.cumsum([len(t) + 1 for t in lowered])
     bounds = np.searchsorted(places, np.concatenate([[0], ends]))
     space = codes == _SPACE
     grams = []
@@ -56,6 +57,8 @@ def gram_lists(texts: list[str]) -> list[np.ndarray]:
             value |= codes[k : k + count] << (_BITS * k)
             if 0 < k < n - 1 or n == 1:
                 valid &= ~space[k : k + count]
+        if n == 2:
+            valid &= ~(space[:count] & space[1 : 1 + count])
         at = np.flatnonzero(valid)
         grams.append((value[at], np.searchsorted(at, bounds)))
     return [

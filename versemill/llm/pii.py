@@ -159,23 +159,28 @@ def disclosing_terms(
     found = stage(found, "pii-near")
     texts = rows.select("key1", "key2").distinct().count()
     entities = found.select("key1", "key2", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = (
-        found.where("term IS NOT NULL").groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    )
-    pairs = stage(pairs, "pii-pairs")
+    named = found.where("term IS NOT NULL")
+    pairs = named.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    # a term occurs at least in the texts where it stands near any entity: most fail by this
+    near = named.select("key1", "key2", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    total = F.lit(float(max(texts, 1)))
+    information = F.log(total / F.col("n_entity"))
+
+    def mutual(n_term: str) -> Column:
+        return F.log(F.col("n_both") * total / (F.col(n_term) * F.col("n_entity")))
+
+    def discloses(n_term: str) -> Column:
+        return (mutual(n_term) > 0) & (mutual(n_term) >= disclosure * information)
+
+    pairs = stage(pairs.join(near, "term").join(entities, "entity").where(discloses("n_near")), "pii-pairs")
     candidates = stage(pairs.select("term").distinct(), "pii-candidates")
     small = F.broadcast(candidates) if fits_in_memory(candidates) else candidates
     words = rows.select(
         "key1", "key2", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({_WORD})"), 1))).alias("term")
     )
     frequency = words.join(small, "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    information = F.log(F.lit(float(max(texts, 1))) / F.col("n_entity"))
-    mutual = F.log(F.col("n_both") * F.lit(float(max(texts, 1))) / (F.col("n_term") * F.col("n_entity")))
     disclosed = stage(
-        pairs.join(entities, "entity")
-        .join(frequency, "term")
-        .where((mutual > 0) & (mutual >= disclosure * information))
-        .select("entity", "term"),
+        pairs.join(frequency, "term").where(discloses("n_term")).select("entity", "term"),
         "pii-disclosed",
     )
     held = found.join(F.broadcast(disclosed) if fits_in_memory(disclosed) else disclosed, ["entity", "term"])

@@ -25,6 +25,12 @@ FOLDS, HELD_OUT = 5, 0
 _EDGES = ".,!?;:\"'()[]{}<>*&%$#@-_/\\…«»„“”‘’¿¡"
 _REMEMBERED = 200_000
 
+# Score of a word without known features.
+_BIAS = -6.0
+
+# Least marginal that counts towards the mass of a document.
+_FLOOR = 0.2
+
 # Tokens of one block of the training.
 _TRAIN_TOKENS = 200_000
 
@@ -176,8 +182,12 @@ class ToxicityModel:
 
 
 def _summaries(chances: list[np.ndarray]) -> np.ndarray:
-    """Highest marginal and logarithm of the expected number of toxic tokens, per document."""
-    return np.array([(c.max(initial=0.0), math.log1p(c.sum())) for c in chances]).reshape(-1, 2)
+    """Highest marginal and logarithm of the expected number of toxic tokens, per document.
+
+    Marginals under ``_FLOOR`` are left out of the sum: many unknown words of a long text
+    are no evidence.
+    """
+    return np.array([(c.max(initial=0.0), math.log1p(c[c >= _FLOOR].sum())) for c in chances]).reshape(-1, 2)
 
 
 def _train_field(
@@ -201,7 +211,7 @@ def _train_field(
             seen += (label[0], ((1 - was) * now).sum(), (was * (1 - now)).sum(), (was * now).sum())
     count = len(sample.names)
     weights = np.zeros(count + 5)
-    weights[count] = -6.0
+    weights[count] = _BIAS
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     scale = max(1.0, sum(float(label.sum()) for label in labels))
     for step in range(1, rounds + 1):
@@ -212,8 +222,9 @@ def _train_field(
             error += np.bincount(kinds, label - chance, sample.kinds)
             expected += some
         by_feature = np.bincount(sample.feature, error[sample.owner], count)
-        gradient = np.concatenate([by_feature, [error.sum()], seen - expected]) / scale
+        gradient = np.concatenate([by_feature, [0.0], seen - expected]) / scale
         gradient -= 1e-4 * weights
+        gradient[count] = 0.0  # words without known features stay clean
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
         weights += 0.4 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
