@@ -228,6 +228,8 @@ def _train_field(
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
         weights += 0.4 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        # steps alone never outweigh the bias, so unknown words stay clean in any number
+        weights[count + 1 :] = np.minimum(weights[count + 1 :], (0.0, 0.0, 0.0, -_BIAS / 2))
     model.features = {n: float(weights[i]) for i, n in enumerate(sample.names) if abs(weights[i]) > 1e-3}
     model.bias = float(weights[count])
     model.steps = tuple(float(w) for w in weights[count + 1 :])
