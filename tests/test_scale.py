@@ -37,7 +37,8 @@ def test_hot_keys_are_salted_without_changing_rows(spark, how):
     assert small.columns == large.columns
 
 
-def test_salting_spreads_the_hot_key(spark):
+def test_salting_spreads_the_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_ROWS", 100)
     data = spark.range(4000).select("id", F.lit("hot").alias("k"))
     lookup = spark.createDataFrame([("hot", 1)], "k string, v int")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -51,6 +52,20 @@ def test_salting_spreads_the_hot_key(spark):
     assert len(sizes) == 4 and max(sizes) < 2000
 
 
+def test_null_keys_of_a_left_join_are_spread(spark):
+    data = spark.range(4000).select("id", F.lit(None).cast("string").alias("k"))
+    lookup = spark.createDataFrame([("hot", 1)], "k string, v int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = join_lookup(data, lookup, ["k"], ["id"], "left", max_rows=0)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(sizes) == 4 and max(sizes) < 2000 and sum(sizes) == 4000
+
+
 def test_fits_in_memory(spark):
     df = spark.createDataFrame([("x" * 100,)] * 10, "w string")
     assert fits_in_memory(df)
@@ -58,6 +73,31 @@ def test_fits_in_memory(spark):
     assert not fits_in_memory(df, max_bytes=999)
 
 
+def test_arrays_are_measured_by_their_size(spark):
+    numbers = spark.range(10).select(F.array_repeat(F.lit(1.0), 1000).alias("a"))
+    words = spark.range(10).select(F.array_repeat(F.lit("word"), 1000).alias("a"))
+    for df in (numbers, words):
+        assert fits_in_memory(df) and not fits_in_memory(df, max_bytes=50_000)
+
+
+ODD = [(1, ["a", "b", None, "a"]), (1, ["c", "b"]), (None, ["a", "b"]), (None, None), (2, [None]), (2, []), (1, ["a", "b", None, "a"])]
+
+
+def test_lookup_paths_agree_on_repeated_ids_and_nulls(spark):
+    df = spark.createDataFrame(ODD, "id int, tokens array<string>")
+    lemmas = spark.createDataFrame([("a", "A")], "word string, lemma string")
+    tags = spark.createDataFrame([("b", "VB")], "word string, tag string")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), (None, "a")], "w1 string, w2 string")
+    for apply, table, first in (
+        (lexicons.lemmatize, lemmas, ["A", "b", None, "A"]),
+        (lexicons.keep_nouns, tags, ["a", None, "a"]),
+        (phrases.apply_phrases, pairs, ["a_b", None, "a"]),
+    ):
+        small = sorted(str(tuple(r)) for r in apply(df, table).collect())
+        assert small == sorted(str(tuple(r)) for r in apply(df, table, max_rows=0).collect())
+        assert small.count(str((1, first))) == 2
+
+
 def tokens_frame(spark, lists):
     return spark.createDataFrame(list(enumerate(lists)), "id int, tokens array<string>")
 
@@ -72,7 +112,7 @@ LISTS = [["a", "b", "a", "b", "c"], [], None, ["b", "b", "b"], ["x"], ["a", "b",
 def test_operators_without_any_broadcast_lookup(spark, monkeypatch, name):
     # every lookup is too large, and many keys count as hot
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(joins, "HOT_SHARE", 10)
+    monkeypatch.setattr(joins, "TASK_ROWS", 5)
     assert difference(queries()[name](spark, SF), connect(SF), oracle_sql()[name]) in (None, "no rows")
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versemill.staging import stage
@@ -16,17 +18,31 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 # Bound for lookups held by Python workers, where an entry takes several times its bytes.
 PYTHON_ROWS = 300_000
 
-# A key with more than 1/HOT_SHARE of all rows is hot, so there are fewer than HOT_SHARE
-# hot keys whatever the data. Rows of a hot key are spread over SALTS partitions.
-HOT_SHARE = 500
-SALTS = 256
+# Rows of a key that one task may take. A key with more is hot and spread over as many
+# parts as it needs; hot keys are fewer than the rows divided by this number.
+TASK_ROWS = 2_000_000
+
+
+def _width(name: str, kind: str) -> Column:
+    """Bytes of a column's values, as far as they vary."""
+    if kind in ("string", "binary"):
+        size = F.octet_length(name)
+    elif kind == "vector":
+        size = 8 * F.size(vector_to_array(name)) + 16
+    elif kind.startswith("array") and kind[6:-1] in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        size = 8 * F.size(name) + 16
+    elif kind.startswith(("array", "map", "struct")):
+        size = F.octet_length(F.to_json(F.struct(name)))
+    else:
+        size = F.lit(16)
+    return F.coalesce(size, F.lit(0)).cast("long")
 
 
 def fits_in_memory(lookup: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Measure a table and tell whether every executor may hold it."""
     width = F.lit(0)
     for name, kind in lookup.dtypes:
-        width = width + (F.coalesce(F.octet_length(name), F.lit(0)) if kind == "string" else F.lit(16))
+        width = width + _width(name, kind)
     rows, size = lookup.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
     return rows <= max_rows and size <= max_bytes
 
@@ -43,29 +59,31 @@ def join_lookup(
     """Join ``rows`` with ``lookup`` (one row per key) on ``keys``.
 
     The lookup is staged and measured. A small one is broadcast, so ``rows`` is not
-    shuffled. A large one is joined by shuffle; the rows of hot keys are spread over
-    ``SALTS`` partitions by a hash of ``spread_by`` and only the matching lookup rows are
-    repeated.
+    shuffled. A large one is joined by shuffle: ``rows`` is staged, the rows of keys with
+    more than ``TASK_ROWS`` are spread over enough parts by a hash of ``spread_by``, and
+    only the matching lookup rows are repeated. Rows with a null key match nothing and are
+    spread likewise.
     """
     keys = list(keys)
     lookup = lookup if staged else stage(lookup, "lookup")
     if fits_in_memory(lookup, BROADCAST_ROWS if max_rows is None else max_rows):
         return rows.join(F.broadcast(lookup), keys, how)
 
-    counts = stage(rows.groupBy(*keys).agg(F.count("*").alias("_n")), "key-counts")
-    total = counts.agg(F.sum("_n")).scalar()
-    # fewer than HOT_SHARE rows by construction
-    hot = stage(counts.where(F.col("_n") * HOT_SHARE > total).select(*keys, F.lit(True).alias("_hot")), "hot-keys")
+    rows = stage(rows, "lookup-rows")
+    parts = F.ceil(F.count("*") / F.lit(TASK_ROWS)).cast("int")
+    # at most rows / TASK_ROWS keys by construction
+    hot = stage(rows.groupBy(*keys).agg(parts.alias("_parts")).where("_parts > 1"), "hot-keys")
+    spread = F.xxhash64(*spread_by)
+    absent = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
     salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)),
+        F.when(absent, spread).otherwise(F.pmod(spread, F.coalesce("_parts", F.lit(1)))),
     )
     salted_lookup = lookup.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))),
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - F.lit(1).cast("long")))
     )
     return (
-        salted_rows.drop("_hot")
-        .join(salted_lookup.drop("_hot"), [*keys, "_salt"], how)
+        salted_rows.drop("_parts")
+        .join(salted_lookup.drop("_parts"), [*keys, "_salt"], how)
         .drop("_salt")
     )
