@@ -24,6 +24,9 @@ BANDS, ROWS = 30, 5
 # the threshold is pruned.
 STEP, MISS = 30, 1e-6
 
+# Keys of twice a band's rows, for the classes that the bands leave in several components.
+KEYS = 48
+
 _BLOCK = 2048
 
 
@@ -192,7 +195,7 @@ class _Classes:
 
     def __init__(self, docs: DataFrame, words: int, percent: int, bands: int, rows: int, miss: float):
         self._docs, self._words, self.percent, self._miss = docs, words, percent, miss
-        self._count = bands * rows
+        self.count = bands * rows
         self.signed = numbered(sign(docs, words, bands, rows), "signed")
         # the row with the smallest id stands for its class
         first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id"), F.col("row")))
@@ -220,7 +223,7 @@ class _Classes:
 
     def plausible(self, a: str, b: str) -> Column:
         """The first step of the sequential test, on low bits, within the join."""
-        bits = min(128, self._count)
+        bits = min(128, self.count)
         differ = sum(
             F.bit_count(F.col(f"{a}.low{i}").bitwiseXOR(F.col(f"{b}.low{i}"))) for i in (1, 2)
         )
@@ -234,7 +237,7 @@ class _Classes:
             pairs.join(minima.select(F.col("class").alias("a"), F.col("minima").alias("minima_a")), "a").join(
                 minima.select(F.col("class").alias("b"), F.col("minima").alias("minima_b")), "b"
             ),
-            self._count,
+            self.count,
             self.percent,
             self._miss,
         )
@@ -297,7 +300,8 @@ def near_duplicates(
 
     Equal sets are one class. The classes of a band's bucket are first compared with one
     class only, that which meets the most others in all its buckets. What then still lies
-    in different components of a bucket is joined by rare shingles (:func:`_links_across`).
+    in different components of a bucket is compared likewise under longer keys, and what
+    is still apart is joined by rare shingles (:func:`_links_across`).
     So copies of one text never meet in pairs, and no link between classes of a bucket is
     lost. A pair passes a test on low bits of its minima and the sizes, then the sequential test
     on all minima, which prunes a pair at the threshold with probability ``miss`` per step;
@@ -326,21 +330,21 @@ def near_duplicates(
     )
     links = stage(found.verify(stage(stars, "minhash-stars")), "minhash-links")
     joined = stage(connected_components(links), "minhash-joined")
-    more = _links_across(found, buckets, joined)
-    if more is not None:
-        known = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        joined = stage(connected_components(known.union(more)), "minhash-joined")
+    classes = _mixed_classes(buckets, joined)
+    if classes.head(1):
+        sets = found.sets(classes.select("class"))
+        for more in (_stars_of_long_keys, _links_across):
+            known = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            joined = stage(connected_components(known.union(more(found, classes, sets))), "minhash-joined")
+            classes = _mixed_classes(buckets, joined) if more is _stars_of_long_keys else classes
     return _labelled(found, joined)
 
 
-def _links_across(found: _Classes, buckets: DataFrame, joined: DataFrame) -> DataFrame | None:
-    """Links between different components that share a bucket; None if all buckets have one component.
+def _mixed_classes(buckets: DataFrame, joined: DataFrame) -> DataFrame:
+    """``(class, n, component, outside)`` of all classes in buckets of several components.
 
-    The classes of such buckets are joined by rare shingles: in any fixed order of the
-    shingles, two sets that are similar enough share one among their first
-    ``n - least + 1``, where ``least`` is the fewest shingles that the smaller must share.
-    The order goes by the number of sets that hold a shingle. So what many texts share, a
-    passage or the common part of an edited text, comes last and makes no pairs.
+    ``outside`` tells that a class lies outside the largest component of such a bucket. Of a
+    pair of different components in one bucket at least one class does.
     """
     labels = joined.select(F.col("node").alias("class"), "component")
     labels = F.broadcast(labels) if fits_in_memory(labels) else labels
@@ -359,16 +363,65 @@ def _links_across(found: _Classes, buckets: DataFrame, joined: DataFrame) -> Dat
         "minhash-mixed",
     )
     mixed = F.broadcast(mixed) if fits_in_memory(mixed) else mixed
-    # of a pair in one bucket at least one class is outside the main component
-    classes = stage(
+    return stage(
         placed.join(mixed, "band")
         .groupBy("class", "n", "component")
         .agg(F.max(F.col("component") != F.col("main")).alias("outside")),
         "minhash-mixed-classes",
     )
-    if not classes.head(1):
-        return None
-    sets = found.sets(classes.select("class"))
+
+
+def _stars_of_long_keys(found: _Classes, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of the classes to one class of each of their buckets under ``KEYS`` long keys.
+
+    A long key takes twice the rows of a band, from random places, so its buckets hold few
+    but similar classes. The links join most of a group of edited copies, in a number of
+    pairs that grows with the classes only.
+    """
+    width = 2 * ROWS
+    random = np.random.Generator(np.random.PCG64(11))
+    chosen = np.concatenate([random.choice(found.count, width, replace=False) for _ in range(KEYS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [
+                _band_keys(np.frombuffer(m, np.uint32)[chosen], width) for m in batch.column("minima").to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("class"), pa.array(keys, pa.list_(pa.int64()))], names=["class", "keys"]
+            )
+
+    members = found.members.join(classes.select("class", "component"), "class")
+    keys = stage(members.select("class", "minima").mapInArrow(run, "class long, keys array<long>"), "minhash-long-keys")
+    placed = keys.select("class", F.explode("keys").alias("band")).join(
+        members.select("class", "component", "n", "low1", "low2"), "class"
+    )
+    placed = stage(placed, "minhash-long-buckets")
+    middle = F.max(F.struct(F.xxhash64("class", "band"), "class", "component", "n", "low1", "low2"))
+    hubs = stage(
+        placed.groupBy("band").agg(middle.alias("hub"), F.count("*").alias("size")).where("size > 1").select(
+            "band", "hub.class", "hub.component", "hub.n", "hub.low1", "hub.low2"
+        ),
+        "minhash-long-hubs",
+    )
+    pairs = placed.alias("one").join(
+        hubs.alias("hub"),
+        (F.col("one.band") == F.col("hub.band"))
+        & (F.col("one.component") != F.col("hub.component"))
+        & found.plausible("one", "hub"),
+    ).select(F.least("hub.class", "one.class").alias("a"), F.greatest("hub.class", "one.class").alias("b"))
+    return found.verify(stage(pairs.distinct(), "minhash-long-stars"), sets)
+
+
+def _links_across(found: _Classes, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the classes of different components that share a bucket.
+
+    The classes are joined by rare shingles: in any fixed order of the shingles, two sets
+    that are similar enough share one among their first ``n - least + 1``, where ``least``
+    is the fewest shingles that the smaller must share. The order goes by the number of
+    sets that hold a shingle. So what many texts share, a passage or the common part of an
+    edited text, comes last and makes few pairs.
+    """
     tokens = sets.select("class", F.explode("shingles").alias("shingle"))
     shared = tokens.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
     known = stage(tokens.join(shared, "shingle"), "minhash-tokens")
@@ -380,7 +433,8 @@ def _links_across(found: _Classes, buckets: DataFrame, joined: DataFrame) -> Dat
         known.join(classes, "class")
         .withColumn("place", F.row_number().over(by_order) + alone)
         .where(F.col("place") <= rest)
-        .select("shingle", "class", "n", "component", "outside"),
+        .join(found.members.select("class", "low1", "low2"), "class")
+        .select("shingle", "class", "n", "component", "outside", "low1", "low2"),
         "minhash-first-tokens",
     )
     one, other = first.where("outside").alias("one"), first.alias("other")
@@ -391,7 +445,7 @@ def _links_across(found: _Classes, buckets: DataFrame, joined: DataFrame) -> Dat
         (F.col("one.shingle") == F.col("other.shingle"))
         & (F.col("one.component") != F.col("other.component"))
         & once
-        & _similar_size(F.col("one.n"), F.col("other.n"), found.percent),
+        & found.plausible("one", "other"),
     ).select(F.least("one.class", "other.class").alias("a"), F.greatest("one.class", "other.class").alias("b"))
     return found.verify(stage(pairs.distinct(), "minhash-across"), sets)
 
