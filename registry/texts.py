@@ -461,17 +461,26 @@ def _(spark, sf):
     return vocabulary.filter_vocabulary(vocabulary.build_vocabulary(df), df.count(), no_below=20, keep_n=_KEEP)
 
 
+cte(
+    "model_vocabulary",
+    "SELECT row_number() OVER (ORDER BY term) - 1 AS term_id, term, doc_freq, term_freq FROM vocabulary"
+    " WHERE doc_freq >= 20 AND doc_freq <= 0.8 * (SELECT count(*) FROM tokenized)",
+    "vocabulary",
+    "tokenized",
+)
+
+
 @query(
     "bag_of_words",
     with_ctes(
-        "SELECT id, term_id, term, count(*) AS tf FROM tokenized_terms JOIN kept_vocabulary USING (term) GROUP BY ALL",
+        "SELECT id, term_id, term, count(*) AS tf FROM tokenized_terms JOIN model_vocabulary USING (term) GROUP BY ALL",
         "tokenized_terms",
-        "kept_vocabulary",
+        "model_vocabulary",
     ),
 )
 def _(spark, sf):
     df = staged_tokens(spark, sf)
-    kept = vocabulary.filter_vocabulary(vocabulary.build_vocabulary(df), df.count(), no_below=20, keep_n=_KEEP)
+    kept = vocabulary.filter_vocabulary(vocabulary.build_vocabulary(df), df.count(), no_below=20, keep_n=None)
     return vocabulary.bag_of_words(df, kept)
 
 

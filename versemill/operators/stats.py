@@ -98,5 +98,6 @@ def coherence_by_setting(results: DataFrame | None, setting: str = "alpha") -> D
 
 
 def select_best_model(results: DataFrame, tie_break: Sequence[str] = ("topics",)) -> DataFrame:
-    """The first row with the highest coherence."""
-    return results.orderBy(F.desc("coherence"), *tie_break).limit(1)
+    """The first row with the highest coherence; what still ties goes by the other columns in turn."""
+    others = [c for c in results.columns if c != "coherence" and c not in tie_break]
+    return results.orderBy(F.desc("coherence"), *tie_break, *others).limit(1)

@@ -22,10 +22,10 @@ from versemill.operators.vocabulary import vectorize, vocabulary_terms
 from versemill.staging import stage
 
 # Default training settings.
-N_TOPICS, PASSES, CHUNK_SIZE = 10, 30, 2000
+N_TOPICS, PASSES, OFFSET, DECAY = 10, 30, 1.0, 0.5
 
-# steps of a pass where no chunk size is given: a step is a job, so its size grows instead
-STEPS_PER_PASS = 50
+# Share of the documents that a step samples, at any size of the corpus.
+SAMPLING_RATE = 0.2
 
 
 @dataclass(frozen=True)
@@ -88,25 +88,31 @@ def lda_fit(
     eta: str = "symmetric",
     seed: int = 0,
     features: DataFrame | None = None,
+    sampling_rate: float = SAMPLING_RATE,
+    offset: float = OFFSET,
+    decay: float = DECAY,
 ) -> TopicModel:
     """Fit one model by online variational Bayes.
 
-    A pass over the corpus is ``documents / chunksize`` steps, each on a random sample of
-    about ``chunksize`` documents; by default ``CHUNK_SIZE``, or more in a large corpus.
-    MLlib cannot learn the term prior, so ``eta="auto"`` uses the symmetric value.
+    A step learns from a random sample of the documents, the share ``sampling_rate`` or
+    about ``chunksize`` documents if that is given; a pass is as many steps as make up the
+    corpus. Step ``t`` weighs ``(offset + t) ** -decay``: a small offset forgets the random
+    start soon. MLlib cannot learn the term prior, so ``eta="auto"`` uses the symmetric value.
     ``features`` may pass vectors that are cached for several fits.
     """
     if eta not in ("symmetric", "auto"):
         raise ValueError(f"unknown eta {eta!r}")
-    if chunksize is None:
-        chunksize = max(CHUNK_SIZE, math.ceil(corpus.n_docs / STEPS_PER_PASS))
-    steps = passes * max(1, math.ceil(corpus.n_docs / chunksize))
+    if chunksize is not None:
+        sampling_rate = min(1.0, chunksize / max(1, corpus.n_docs))
+    steps = passes * math.ceil(1 / sampling_rate)
     documents = corpus.documents.select("features") if features is None else features
     lda = LDA(
         k=k,
         optimizer="online",
         maxIter=steps,
-        subsamplingRate=min(1.0, chunksize / max(1, corpus.n_docs)),
+        subsamplingRate=sampling_rate,
+        learningOffset=offset,
+        learningDecay=decay,
         docConcentration=document_prior(alpha, k),
         topicConcentration=1.0 / k,
         optimizeDocConcentration=alpha == "auto",
