@@ -77,6 +77,21 @@ def test_terms_that_disclose_are_marked_and_taken_out(spark):
     assert all(found[10 + k]["sanitised"] == found[10 + k]["text"] for k in range(30))
 
 
+def _terms(row):
+    return {row["text"][s["start"] : s["end"]] for s in row["spans"] if s["kind"] == "term"}
+
+
+def test_entities_of_one_or_two_texts_have_terms(spark):
+    given = [(0, "common words, the zeppelin captain is ann@ship.org"), (3, "common words of the captain")]
+    given += [(k, f"common words {k}, the baroness of harlow has +49 30 1234567") for k in (1, 2)]
+    given += [(10 + k, f"common words, the captain of {prose(k, 40)} is c{k}@post.com") for k in range(40)]
+    given += [(60 + k, f"common words of {prose(60 + k, 40)}") for k in range(60)]
+    found = {r["doc_id"]: r for r in pii.find_personal_data(documents(spark, given + given[:1] * 5)).collect()}
+    assert _terms(found[0]) == {"zeppelin"}
+    assert _terms(found[1]) == _terms(found[2]) == {"baroness", "harlow"}
+    assert not any({"common", "words", "captain"} & _terms(r) for r in found.values())
+
+
 def test_no_python_in_the_plan(spark):
     plan = pii.find_personal_data(documents(spark, [(1, "a@b.cc")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)

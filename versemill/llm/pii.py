@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versemill.joins import fits_in_memory
+from versemill.joins import fits_in_memory, join_lookup
 from versemill.staging import stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -29,9 +29,9 @@ _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 # Characters on either side of an entity in which terms count as occurring with it.
 CONTEXT = 80
 
-# Fewest different texts in which a term occurs with an entity, and the share of the
-# entity's information that a term must give away.
-SUPPORT, DISCLOSURE = 3, 0.9
+# Share of the entity's information that a term must give away, and the texts that the
+# estimate from the part of the entity counts as beside the texts that hold the term.
+DISCLOSURE, SMOOTHING = 0.9, 0.5
 
 _WORD = r"\p{L}{4,}"
 _MARK, _OTHER = "\x01", "\x02"
@@ -111,8 +111,19 @@ def _entity(kind: str, value: Column) -> Column:
     return F.lower(value) if kind == "email" else value if kind == "ip" else _digits(value)
 
 
+def _part(kind: str, value: Column) -> Column:
+    """What an entity shares with others of its kind: domain, network, issuer or area."""
+    entity = _entity(kind, value)
+    if kind == "email":
+        return F.substring_index(entity, "@", -1)
+    if kind == "ip":
+        return F.substring_index(entity, ".", 2)
+    length = F.lit(6) if kind == "card" else F.greatest(F.length(entity) - 7, F.lit(1))
+    return F.substring(entity, F.lit(1), length)
+
+
 def _near(kind: str, context: int) -> Column:
-    """Per span of a kind its entity and the text around it."""
+    """Per span of a kind its entity, the part of that, and the text around it."""
 
     def one(span: Column) -> Column:
         before = F.substring(
@@ -120,17 +131,47 @@ def _near(kind: str, context: int) -> Column:
         )
         after = F.substring("text", span["end"] + 1, F.lit(context))
         entity = F.xxhash64(F.lit(kind), _entity(kind, span["value"]))
-        return F.struct(entity.alias("entity"), F.concat_ws("\n", before, after).alias("around"))
+        part = F.xxhash64(F.lit(kind), F.lit("part"), _part(kind, span["value"]))
+        return F.struct(
+            F.struct(F.lit(kind).alias("kind"), part.alias("part"), entity.alias("entity")).alias("entity"),
+            F.concat_ws("\n", before, after).alias("around"),
+        )
 
     return F.transform(kind, one)
 
 
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({_WORD})"), 1))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """The written table, broadcast if it is measured to be small."""
+    return F.broadcast(df) if fits_in_memory(df) else df
+
+
+def _units(entities: DataFrame) -> DataFrame:
+    """``(key1, key2, unit, part, kind, n_entity, n_part, n_kind)`` of the entities of all texts.
+
+    Entities of one part that occur in the same texts have the same counts with every term
+    and are one unit, so a text that lists many entities does not pair each with each word.
+    """
+    counted = entities.groupBy("entity").agg(
+        F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("key1", "key2")).alias("where")
+    )
+    rows = join_lookup(entities, counted, ["entity"], ["key1", "key2"])
+    for name in ("part", "kind"):
+        n = entities.select("key1", "key2", name).distinct().groupBy(name).agg(F.count("*").alias(f"n_{name}"))
+        rows = join_lookup(rows, n, [name], ["key1", "key2", "entity"])
+    unit = F.xxhash64("part", "where", "n_entity").alias("unit")
+    return rows.select("key1", "key2", unit, "part", "kind", "n_entity", "n_part", "n_kind").distinct()
+
+
 def disclosing_terms(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    support: int = SUPPORT,
     disclosure: float = DISCLOSURE,
+    smoothing: float = SMOOTHING,
     context: int = CONTEXT,
 ) -> DataFrame:
     """``(key1, key2, terms)``: per text with entities the terms that disclose one of them.
@@ -138,53 +179,78 @@ def disclosing_terms(
     A term is a word of four letters or more, in lower case, within ``context`` characters
     of an entity. Over all different texts, its pointwise mutual information with the entity
     is compared with the information of the entity itself, ``-log p(entity)``; a term that
-    occurs with it in at least ``support`` texts and gives away at least the share
-    ``disclosure`` is listed for each text that holds both. Copies of a text count once.
+    gives away at least the share ``disclosure`` is listed for each text that holds both.
+    Copies of a text count once.
+
+    ``p(entity | term)`` is smoothed, since most entities occur in one text: ``smoothing``
+    texts are added that hold the entity as often as the part of it (domain, network,
+    issuer, area) lets expect, whose share given the term is smoothed by that of the kind,
+    and this by the share of the kind in all texts.
     """
     rows = _with_base(docs, id_col, text_col)
-    near = [_near(k, context) for k in KINDS]
-    found = (
-        rows.where(F.size(F.concat(*near)) > 0)
-        .select("key1", "key2", F.explode(F.concat(*near)).alias("near"))
-        .select(
-            "key1",
-            "key2",
-            "near.entity",
-            F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("near.around"), F.lit(f"({_WORD})"), 1))).alias(
-                "term"
-            ),
-        )
+    near = F.concat(*[_near(k, context) for k in KINDS])
+    texts = stage(
+        rows.select("key1", "key2", near.alias("near"))
+        .where(F.size("near") > 0)
+        .select("key1", "key2", F.explode("near").alias("near"))
+        .select("key1", "key2", "near.entity", _words(F.col("near.around")).alias("words"))
+        .distinct(),
+        "pii-near",
+    )
+    n_texts = rows.select("key1", "key2").distinct().count()
+    units = stage(_units(texts.select("key1", "key2", "entity.*").distinct()), "pii-units")
+    total = F.lit(float(max(n_texts, 1)))
+    least = F.pow(F.col("n_entity") / total, F.lit(1.0 - disclosure))
+
+    # no estimate exceeds the one of a term that stands in the texts of the entity only
+    reach = (F.col("n_entity") + smoothing) / least - smoothing
+    most = units.agg(F.max(reach)).first()[0] or 0.0
+    words = texts.select("key1", "key2", F.explode("words").alias("term")).distinct()
+    terms = stage(words.select("term").distinct(), "pii-near-terms")
+    counts = (
+        rows.select("key1", "key2", F.explode(_words(F.col("text"))).alias("term"))
+        .join(_small(terms), "term")
         .distinct()
+        .groupBy("term")
+        .agg(F.count("*").alias("n_term"))
+        .where(F.col("n_term") <= most)
     )
-    found = stage(found, "pii-near")
-    texts = rows.select("key1", "key2").distinct().count()
-    entities = found.select("key1", "key2", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    named = found.where("term IS NOT NULL")
-    pairs = named.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    # a term occurs at least in the texts where it stands near any entity: most fail by this
-    near = named.select("key1", "key2", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    total = F.lit(float(max(texts, 1)))
-    information = F.log(total / F.col("n_entity"))
-
-    def mutual(n_term: str) -> Column:
-        return F.log(F.col("n_both") * total / (F.col(n_term) * F.col("n_entity")))
-
-    def discloses(n_term: str) -> Column:
-        return (mutual(n_term) > 0) & (mutual(n_term) >= disclosure * information)
-
-    pairs = stage(pairs.join(near, "term").join(entities, "entity").where(discloses("n_near")), "pii-pairs")
-    candidates = stage(pairs.select("term").distinct(), "pii-candidates")
-    small = F.broadcast(candidates) if fits_in_memory(candidates) else candidates
-    words = rows.select(
-        "key1", "key2", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({_WORD})"), 1))).alias("term")
+    held = stage(join_lookup(words, counts, ["term"], ["key1", "key2"]), "pii-held")
+    disclosed = stage(_disclosed(held, units, total, least, reach, smoothing), "pii-disclosed")
+    listed = held.join(_small(units.select("key1", "key2", "unit")), ["key1", "key2"]).join(
+        _small(disclosed), ["unit", "term"], "left_semi"
     )
-    frequency = words.join(small, "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    disclosed = stage(
-        pairs.join(frequency, "term").where(discloses("n_term")).select("entity", "term"),
-        "pii-disclosed",
+    return stage(listed.groupBy("key1", "key2").agg(F.sort_array(F.collect_set("term")).alias("terms")), "pii-terms")
+
+
+def _disclosed(
+    held: DataFrame, units: DataFrame, total: Column, least: Column, reach: Column, smoothing: float
+) -> DataFrame:
+    """``(unit, term)`` of the terms that give away enough of an entity."""
+
+    def with_term(name: str, *others: str) -> DataFrame:
+        some = units.select("key1", "key2", name, *others).distinct()
+        return held.join(_small(some), ["key1", "key2"])
+
+    # no estimate exceeds the one with a part that always comes with the entity
+    bound = (F.col("n_both") + smoothing) / (F.col("n_term") + smoothing)
+    found = (
+        with_term("unit", "part", "kind", "n_entity", "n_part", "n_kind")
+        .where(F.col("n_term") <= reach)
+        .groupBy("term", "unit", "part", "kind", "n_entity", "n_part", "n_kind", "n_term")
+        .agg(F.count("*").alias("n_both"))
+        .where(bound >= least)
     )
-    held = found.join(F.broadcast(disclosed) if fits_in_memory(disclosed) else disclosed, ["entity", "term"])
-    return stage(held.groupBy("key1", "key2").agg(F.sort_array(F.collect_set("term")).alias("terms")), "pii-terms")
+    for name in ("part", "kind"):
+        found = found.join(with_term(name).groupBy("term", name).agg(F.count("*").alias(f"n_with_{name}")), ["term", name])
+
+    def smoothed(n_with: str, expected: Column) -> Column:
+        return (F.col(n_with) + smoothing * expected) / (F.col("n_term") + smoothing)
+
+    kind = smoothed("n_with_kind", F.col("n_kind") / total)
+    part = smoothed("n_with_part", F.col("n_part") / F.col("n_kind") * kind)
+    given = smoothed("n_both", F.col("n_entity") / F.col("n_part") * part)
+    return found.where((given >= least) & (given > F.col("n_entity") / total)).select("unit", "term")
 
 
 def _joined(spans: Column) -> Column:
@@ -210,8 +276,8 @@ def find_personal_data(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    support: int = SUPPORT,
     disclosure: float = DISCLOSURE,
+    smoothing: float = SMOOTHING,
     context: int = CONTEXT,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, text, base, spans`` and an array per kind.
@@ -222,7 +288,7 @@ def find_personal_data(
     points, ends are exclusive. Null texts count as empty and have no spans; rows that
     repeat an id or a text are marked each.
     """
-    terms = disclosing_terms(docs, id_col, text_col, support, disclosure, context)
+    terms = disclosing_terms(docs, id_col, text_col, disclosure, smoothing, context)
     rows = _with_base(docs, id_col, text_col)
     rows = rows.join(F.broadcast(terms) if fits_in_memory(terms) else terms, ["key1", "key2"], "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
