@@ -83,7 +83,7 @@ def _terms(row):
 
 def test_entities_of_one_or_two_texts_have_terms(spark):
     given = [(0, "common words, the zeppelin captain is ann@ship.org"), (3, "common words of the captain")]
-    given += [(k, f"common words {k}, the baroness of harlow has +49 30 1234567") for k in (1, 2)]
+    given += [(k, f"common words {k}, the baroness of harlow is +49 30 1234567") for k in (1, 2)]
     given += [(10 + k, f"common words, the captain of {prose(k, 40)} is c{k}@post.com") for k in range(40)]
     given += [(60 + k, f"common words of {prose(60 + k, 40)}") for k in range(60)]
     found = {r["doc_id"]: r for r in pii.find_personal_data(documents(spark, given + given[:1] * 5)).collect()}
@@ -92,6 +92,16 @@ def test_entities_of_one_or_two_texts_have_terms(spark):
     assert not any({"common", "words", "captain"} & _terms(r) for r in found.values())
 
 
+def test_terms_of_any_length_and_distance_in_all_texts(spark):
+    far = " ".join(["common words"] * 20)
+    given = [(k, f"ann@ship.org {far} Kim Li 王小明 {far}") for k in range(3)] + [(3, "Kim. common words"), (4, "王小明和 Li")]
+    given += [(10 + k, f"common words {prose(k, 40)}") for k in range(60)]
+    found = {r["doc_id"]: r for r in pii.find_personal_data(documents(spark, [(k, f"{t} {prose(k, 30)}") for k, t in given])).collect()}
+    for k in range(3):
+        assert {"Kim", "Li", "王小明"} <= _terms(found[k]) and not {"common", "words"} & _terms(found[k])
+    assert "Kim" in _terms(found[3]) and {"王小明", "Li"} <= _terms(found[4])
+
+
 def test_no_python_in_the_plan(spark):
     plan = pii.find_personal_data(documents(spark, [(1, "a@b.cc")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)

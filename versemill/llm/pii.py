@@ -26,14 +26,15 @@ _PATTERNS = {
 # Texts without these characters have no match.
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
-# Characters on either side of an entity in which terms count as occurring with it.
-CONTEXT = 80
-
 # Share of the entity's information that a term must give away, and the texts that the
 # estimate from the part of the entity counts as beside the texts that hold the term.
 DISCLOSURE, SMOOTHING = 0.9, 0.5
 
-_WORD = r"\p{L}{4,}"
+# Letters of scripts without spaces, where each pair of neighbours is a word.
+_SPACELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_WORD, _PAIR = rf"([\p{{L}}&&[^{_SPACELESS}]]+)", rf"(?=([{_SPACELESS}]{{2}}))"
+_LETTER = rf"[\p{{L}}&&[^{_SPACELESS}]]"
+_LEFT, _RIGHT = rf"(?<!{_LETTER})(?:", rf")(?!{_LETTER})"
 _MARK, _OTHER = "\x01", "\x02"
 
 
@@ -122,26 +123,23 @@ def _part(kind: str, value: Column) -> Column:
     return F.substring(entity, F.lit(1), length)
 
 
-def _near(kind: str, context: int) -> Column:
-    """Per span of a kind its entity, the part of that, and the text around it."""
+def _entities(kind: str) -> Column:
+    """Per span of a kind its entity and the part of that."""
 
     def one(span: Column) -> Column:
-        before = F.substring(
-            "text", F.greatest(span["start"] - context, F.lit(0)) + 1, F.least(span["start"], F.lit(context))
-        )
-        after = F.substring("text", span["end"] + 1, F.lit(context))
         entity = F.xxhash64(F.lit(kind), _entity(kind, span["value"]))
         part = F.xxhash64(F.lit(kind), F.lit("part"), _part(kind, span["value"]))
-        return F.struct(
-            F.struct(F.lit(kind).alias("kind"), part.alias("part"), entity.alias("entity")).alias("entity"),
-            F.concat_ws("\n", before, after).alias("around"),
-        )
+        return F.struct(F.lit(kind).alias("kind"), part.alias("part"), entity.alias("entity"))
 
     return F.transform(kind, one)
 
 
 def _words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({_WORD})"), 1))
+    """The words of a text in lower case, each once; those within e-mail addresses do not count."""
+    free = F.lower(F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, _PATTERNS["email"], "\n")).otherwise(text))
+    pairs = F.when(F.octet_length(free) > F.char_length(free), F.regexp_extract_all(free, F.lit(_PAIR), 1))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.regexp_extract_all(free, F.lit(_WORD), 1), F.coalesce(pairs, none)))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -172,15 +170,14 @@ def disclosing_terms(
     text_col: str = "text",
     disclosure: float = DISCLOSURE,
     smoothing: float = SMOOTHING,
-    context: int = CONTEXT,
 ) -> DataFrame:
-    """``(key1, key2, terms)``: per text with entities the terms that disclose one of them.
+    """``(key1, key2, terms)``: per text the terms that disclose an entity.
 
-    A term is a word of four letters or more, in lower case, within ``context`` characters
-    of an entity. Over all different texts, its pointwise mutual information with the entity
-    is compared with the information of the entity itself, ``-log p(entity)``; a term that
-    gives away at least the share ``disclosure`` is listed for each text that holds both.
-    Copies of a text count once.
+    A term is a word of any length, in lower case; in scripts without spaces it is a pair of
+    neighbouring letters. Over all different texts, its pointwise mutual information with an
+    entity of the same text, at any distance, is compared with the information of the entity
+    itself, ``-log p(entity)``; a term that gives away at least the share ``disclosure`` is
+    listed for each text that holds it, with or without the entity. Copies count once.
 
     ``p(entity | term)`` is smoothed, since most entities occur in one text: ``smoothing``
     texts are added that hold the entity as often as the part of it (domain, network,
@@ -188,45 +185,42 @@ def disclosing_terms(
     and this by the share of the kind in all texts.
     """
     rows = _with_base(docs, id_col, text_col)
-    near = F.concat(*[_near(k, context) for k in KINDS])
+    words = rows.select("key1", "key2", F.explode(_words(F.col("text"))).alias("term"))
     texts = stage(
-        rows.select("key1", "key2", near.alias("near"))
-        .where(F.size("near") > 0)
-        .select("key1", "key2", F.explode("near").alias("near"))
-        .select("key1", "key2", "near.entity", _words(F.col("near.around")).alias("words"))
-        .distinct(),
-        "pii-near",
+        rows.select("key1", "key2", F.concat(*map(_entities, KINDS)).alias("entities"), _words(F.col("text")).alias("words"))
+        .where(F.size("entities") > 0),
+        "pii-texts",
     )
-    n_texts = rows.select("key1", "key2").distinct().count()
-    units = stage(_units(texts.select("key1", "key2", "entity.*").distinct()), "pii-units")
+    copies = stage(rows.groupBy("key1", "key2").agg(F.count("*").alias("copies")), "pii-copies")
+    n_texts, copies = copies.count(), copies.where("copies > 1")
+    units = stage(_units(texts.select("key1", "key2", F.explode("entities").alias("e")).select("key1", "key2", "e.*").distinct()), "pii-units")
     total = F.lit(float(max(n_texts, 1)))
     least = F.pow(F.col("n_entity") / total, F.lit(1.0 - disclosure))
 
     # no estimate exceeds the one of a term that stands in the texts of the entity only
     reach = (F.col("n_entity") + smoothing) / least - smoothing
     most = units.agg(F.max(reach)).first()[0] or 0.0
-    words = texts.select("key1", "key2", F.explode("words").alias("term")).distinct()
-    terms = stage(words.select("term").distinct(), "pii-near-terms")
+    near = texts.select("key1", "key2", F.explode("words").alias("term")).distinct()
+    terms = stage(near.select("term").distinct(), "pii-near-terms")
+    once = rows.join(_small(copies), ["key1", "key2"], "left").select(
+        F.explode(_words(F.col("text"))).alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("share")
+    )
     counts = (
-        rows.select("key1", "key2", F.explode(_words(F.col("text"))).alias("term"))
-        .join(_small(terms), "term")
-        .distinct()
-        .groupBy("term")
-        .agg(F.count("*").alias("n_term"))
+        once.groupBy("term")
+        .agg(F.round(F.sum("share")).cast("long").alias("n_term"))
         .where(F.col("n_term") <= most)
+        .join(_small(terms), "term", "left_semi")
     )
-    held = stage(join_lookup(words, counts, ["term"], ["key1", "key2"]), "pii-held")
+    held = stage(join_lookup(near, counts, ["term"], ["key1", "key2"]), "pii-held")
     disclosed = stage(_disclosed(held, units, total, least, reach, smoothing), "pii-disclosed")
-    listed = held.join(_small(units.select("key1", "key2", "unit")), ["key1", "key2"]).join(
-        _small(disclosed), ["unit", "term"], "left_semi"
-    )
+    listed = words.join(_small(disclosed), "term", "left_semi")
     return stage(listed.groupBy("key1", "key2").agg(F.sort_array(F.collect_set("term")).alias("terms")), "pii-terms")
 
 
 def _disclosed(
     held: DataFrame, units: DataFrame, total: Column, least: Column, reach: Column, smoothing: float
 ) -> DataFrame:
-    """``(unit, term)`` of the terms that give away enough of an entity."""
+    """``(term)`` of the terms that give away enough of an entity."""
 
     def with_term(name: str, *others: str) -> DataFrame:
         some = units.select("key1", "key2", name, *others).distinct()
@@ -250,7 +244,7 @@ def _disclosed(
     kind = smoothed("n_with_kind", F.col("n_kind") / total)
     part = smoothed("n_with_part", F.col("n_part") / F.col("n_kind") * kind)
     given = smoothed("n_both", F.col("n_entity") / F.col("n_part") * part)
-    return found.where((given >= least) & (given > F.col("n_entity") / total)).select("unit", "term")
+    return found.where((given >= least) & (given > F.col("n_entity") / total)).select("term").distinct()
 
 
 def _joined(spans: Column) -> Column:
@@ -278,20 +272,33 @@ def find_personal_data(
     text_col: str = "text",
     disclosure: float = DISCLOSURE,
     smoothing: float = SMOOTHING,
-    context: int = CONTEXT,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, text, base, spans`` and an array per kind.
 
     ``base`` holds the spans of the patterns and ``spans`` those and the spans of kind
-    ``term``: every occurrence, as a whole word, of a term that discloses an entity of the
-    text (:func:`disclosing_terms`). Both are sorted by start, then kind; offsets are code
+    ``term``: every occurrence, as a whole word, of a term that discloses an entity of any
+    text (:func:`disclosing_terms`); neighbouring pairs of scripts without spaces are one span. Both are sorted by start, then kind; offsets are code
     points, ends are exclusive. Null texts count as empty and have no spans; rows that
     repeat an id or a text are marked each.
     """
-    terms = disclosing_terms(docs, id_col, text_col, disclosure, smoothing, context)
+    terms = disclosing_terms(docs, id_col, text_col, disclosure, smoothing)
     rows = _with_base(docs, id_col, text_col)
     rows = rows.join(F.broadcast(terms) if fits_in_memory(terms) else terms, ["key1", "key2"], "left")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
+    pair = F.lit(f"^[{_SPACELESS}]")
+    whole = F.filter("terms", lambda t: ~F.regexp_like(t, pair))
+    first, second = (lambda t: F.substring(t, 1, 1)), (lambda t: F.substring(t, 2, 1))
+    letters = F.transform(
+        F.filter("terms", lambda t: F.regexp_like(t, pair)),
+        lambda t: F.concat(first(t), F.lit("(?="), second(t), F.lit(")|(?<="), first(t), F.lit(")"), second(t)),
+    )
+    some = F.filter(
+        F.array(
+            F.when(F.size(whole) > 0, F.concat(F.lit(_LEFT), F.array_join(whole, "|"), F.lit(_RIGHT))),
+            F.when(F.size(letters) > 0, F.concat(F.lit("(?:"), F.array_join(letters, "|"), F.lit(")+"))),
+        ),
+        lambda p: p.isNotNull(),
+    )
+    pattern = F.concat(F.lit("(?iu)"), F.array_join(some, "|"))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     rows = rows.withColumn(
         "term", F.when(F.col("terms").isNotNull(), _matches(F.col("text"), pattern)).otherwise(none)
