@@ -158,6 +158,17 @@ def test_common_subsequence_equals_dynamic_programming():
         assert decontamination.common_subsequence(a, b) == table[-1, -1]
 
 
+def test_copy_whose_window_leans_to_other_words_is_a_candidate():
+    projection = np.zeros((64, 2), np.float32)
+    projection[:9, 0], projection[9:, 1] = 1, 3
+    passages = decontamination.Passages([5], [np.arange(9, dtype=np.uint64)])
+    searcher = decontamination._Searcher(passages, decontamination.LatentSpace(projection, np.ones(64, np.float32)))
+    words = np.r_[20:40, 0:9, 40:60].astype(np.uint64)
+    found = list(searcher.candidates(words, np.array([0, len(words)])))
+    assert found and max(f[3] for f in found) < 0.4
+    assert any(searcher.confirm(words, 0, len(words), begin, p) == (1.0, 1.0) for _, begin, p, _ in found)
+
+
 def test_leaks_are_found_and_clean_documents_left(spark):
     items = [(k, prose(1000 + k, 12 + 3 * k)) for k in range(20)] + [(50, None), (51, ""), (52, "two words"), (None, prose(909, 30))]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
