@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versemill.llm import decontamination, exact_dedup, language, minhash, packing, pii, quality, sharding, suffix_dedup, toxicity
+from versemill.llm import (
+    decontamination,
+    exact_dedup,
+    language,
+    merkle,
+    minhash,
+    packing,
+    pii,
+    quality,
+    sharding,
+    suffix_dedup,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -188,3 +200,74 @@ FROM texts LEFT JOIN kept k USING (doc_id)"""
 @query("op2_suffix_dedup", _REPEATS_SQL)
 def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+
+
+# --- manifest --------------------------------------------------------------------------
+
+
+def _manifest_sql(levels: int = 6) -> str:
+    """The trees level by level; 16 ** levels rows of a source, and sources, have room."""
+    value = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+    fields = [value.format(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # crc32 bit by bit: -1 shifts, other numbers are bytes
+    crc = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+      string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END))"""
+    leaf, altered = (f"sha256({' || '.join([*fields, value.format(t)])})" for t in ("text", lowered))
+    parts = [
+        f"""WITH leaves AS (
+  SELECT doc_id, source, {leaf} AS h, CASE WHEN {crc} % 5 = 0 THEN {altered} ELSE {leaf} END AS changed,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS r
+  FROM documents),
+s0 AS (SELECT source AS tree, r AS i, h FROM leaves)"""
+    ]
+
+    def grow(name: str) -> None:
+        for level in range(levels):
+            here, after = f"{name}{level}", f"{name}{level + 1}"
+            parts.append(f"""{here}x AS (
+  SELECT tree, i, h, count(*) OVER (PARTITION BY tree) > 1 AS many,
+    coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {here} WINDOW run AS (PARTITION BY tree, i // 16 ORDER BY i))""")
+            parts.append(f"""{after} AS (
+  SELECT tree, i // 16 AS i, CASE WHEN bool_or(many) THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h
+  FROM {here}x GROUP BY tree, i // 16)""")
+
+    grow("s")
+    parts.append(f"""roots AS (
+  SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS place FROM s{levels}),
+t0 AS (SELECT 0 AS tree, place AS i, subroot AS h FROM roots)""")
+    grow("t")
+    joins = []
+    for name, place in (("s", "v.r"), ("t", "place")):
+        for level in range(levels):
+            node = f"{name}{level}x"
+            tree = f"{node}.tree IS NOT DISTINCT FROM v.source" if name == "s" else f"{node}.tree = 0"
+            joins.append(f"JOIN {node} ON {tree} AND {node}.i = {place} // {16**level}")
+    parts.append("""paths AS (
+  SELECT doc_id, v.h AS leaf, subroot, t%d.h AS root, changed, %s
+  FROM leaves v JOIN roots ON roots.tree IS NOT DISTINCT FROM v.source CROSS JOIN t%d %s)""" % (
+        levels,
+        ", ".join(f"{n}{k}x.l AS {n}l{k}, {n}{k}x.r AS {n}r{k}, {n}{k}x.many AS {n}m{k}" for n in "st" for k in range(levels)),
+        levels,
+        " ".join(joins),
+    ))
+    last = "paths"
+    for number, (n, k) in enumerate((n, k) for n in "st" for k in range(levels)):
+        parts.append(
+            f"f{number} AS (SELECT * REPLACE (CASE WHEN {n}m{k} THEN sha256({n}l{k} || changed || {n}r{k}) "
+            f"ELSE changed END AS changed) FROM {last})"
+        )
+        last = f"f{number}"
+    proof = " || ".join(f"{n}l{k} || {n}r{k}" for n in "st" for k in range(levels))
+    return ",\n".join(parts) + (
+        f"\nSELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, changed AS folded_root, "
+        f"changed = root AS verified FROM {last}"
+    )
+
+
+@query("op12_merkle_manifest", _manifest_sql())
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.verify_tampered(table(spark, sf, "documents"))
