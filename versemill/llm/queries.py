@@ -16,6 +16,7 @@ from versemill.llm import (
     packing,
     pii,
     quality,
+    runs,
     sharding,
     suffix_dedup,
     toxicity,
@@ -271,3 +272,11 @@ t0 AS (SELECT 0 AS tree, place AS i, subroot AS h FROM roots)""")
 @query("op12_merkle_manifest", _manifest_sql())
 def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.verify_tampered(table(spark, sf, "documents"))
+
+
+# --- periodic runs ---------------------------------------------------------------------
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf, "documents"), probe=True)
