@@ -13,6 +13,7 @@ from versemill.llm import (
     language,
     merkle,
     minhash,
+    ngram_join,
     packing,
     pii,
     quality,
@@ -280,3 +281,18 @@ def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
 @query("op13_periodic_runs")
 def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs.periodic_runs(table(spark, sf, "documents"), probe=True)
+
+
+# --- similar texts ---------------------------------------------------------------------
+
+_JOIN_SQL = (
+    _NEAR_SQL.replace("w[i:i + 3]", "w[i:i + 2]")
+    .replace("len(w) - 3", "len(w) - 2")
+    .replace("80 * (x.n", "90 * (x.n")
+    .replace(",\n  d.doc_id = coalesce(component_id, d.doc_id) AS kept", "")
+)
+
+
+@query("op11_ngram_join", _JOIN_SQL)
+def op11_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.similar_texts(table(spark, sf, "documents")).drop("row")
