@@ -165,20 +165,11 @@ class _Sets:
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The written pairs ``(a, b)`` that are links by their whole sets, written."""
         sets = self._whole(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
-        percent = self.percent
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = []
-                for one, other in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-                    one, other = np.frombuffer(one, np.int64), np.frombuffer(other, np.int64)
-                    common = len(np.intersect1d(one, other, assume_unique=True))
-                    keep.append(100 * common >= percent * (len(one) + len(other) - common))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
         for side in "ab":
             pairs = pairs.join(sets.select(F.col("class").alias(side), F.col("grams").alias(f"set_{side}")), side)
-        return stage(pairs.mapInArrow(run, "a long, b long"), "join-links")
+        common = F.size(F.array_intersect("set_a", "set_b"))
+        linked = 100 * common >= self.percent * (F.size("set_a") + F.size("set_b") - common)
+        return stage(pairs.where(linked).select("a", "b"), "join-links")
 
     def _whole(self, classes: DataFrame) -> DataFrame:
         """``(class, grams)``, read once more from the first document of each class, and written."""
@@ -190,15 +181,15 @@ class _Sets:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingler = Shingler(words)
             for batch in steps(batches):
-                made = [(len(g), *set_key(g), g.tobytes()) for g in shingler(batch.column("text"))]
+                made = [(len(g), *set_key(g), g.view(np.int64)) for g in shingler(batch.column("text"))]
                 columns = zip(*made) if made else [[]] * 4
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["n", "key1", "key2", "grams"]
                 )
 
         keys = ["n", "key1", "key2"]
-        read = restrict(self._docs, named).mapInArrow(run, "n long, key1 long, key2 long, grams binary")
+        read = restrict(self._docs, named).mapInArrow(run, "n long, key1 long, key2 long, grams array<long>")
         # ids that repeat give some sets more than once
         found = read.join(named.drop("doc_id"), keys).select("class", "grams").dropDuplicates(["class"])
         return stage(found, "join-sets")
