@@ -68,6 +68,56 @@ def test_batches_built_on_first_use(spark):
     assert rows(batches.union_batches(got, batches.load_batch(spark, path, 3)), "id") == [(0,), (1,), (4,)]
 
 
+@pytest.mark.parametrize("chunksize", [1, 3, 4, 10, 100])
+def test_batches_with_repeated_and_null_ids(spark, chunksize):
+    ids = [None] * 5 + [1, 2, 2, 2, 2, 2, 2, 2, 3, 5, 5, 8, 9, 9, 9, -4]
+    df = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "id long, lyrics string").repartition(3)
+    got = batches.split_batches(df, chunksize).collect()
+    ordered = sorted(ids, key=lambda i: (i is not None, i or 0))
+    want = sorted(str((i, k // chunksize + 1)) for k, i in enumerate(ordered))
+    assert sorted(str((r.id, r.batch_id)) for r in got) == want
+    assert sorted(r.lyrics for r in got) == sorted(f"text {k}" for k in range(len(ids)))
+
+
+@pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 200])
+def test_batches_of_every_count(spark, n):
+    df = spark.range(n).withColumn("id", F.col("id") * 3 - 50)
+    got = rows(batches.split_batches(df.repartition(3), 7), "id", "batch_id")
+    assert got == [(3 * k - 50, k // 7 + 1) for k in range(n)]
+    assert batches.split_batches(df.where("id > 1000"), 7).count() == 0
+
+
+def test_batches_by_text_order(spark):
+    names = ["b", "é", "a", None, "ab", "z", ""]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r.name: r.batch_id for r in batches.split_batches(df, 2, "name").collect()}
+    assert got == {None: 1, "": 1, "a": 2, "ab": 2, "b": 3, "z": 3, "é": 4}
+
+
+def test_numbering_neither_sorts_nor_shuffles_texts(spark):
+    path = new_path(spark, "ordered-songs")
+    spark.range(1000).select("id", F.repeat(F.lit("la "), 50).alias("lyrics")).write.parquet(path)
+    plan = batches.split_batches(spark.read.parquet(path), 100)._jdf.queryExecution().optimizedPlan().toString()
+    outer = plan.split("scalar-subquery")[0]
+    assert "lyrics" in outer and not any(word in outer for word in ("Sort", "Join", "Aggregate", "Repartition", "Window"))
+
+
+def test_batch_folders(spark, batch_path):
+    # a batch is read from its own folder: the file index holds no other
+    files = batches.load_batch(spark, batch_path, 2).inputFiles()
+    assert files and all("/batch_id=2/" in f for f in files)
+    # input in order is written where it lies, input out of order is brought together first
+    near, far = new_path(spark, "near"), new_path(spark, "far")
+    batches.write_batches(spark.range(0, 1000, 1, 4), near, chunksize=100)
+    batches.write_batches(spark.range(0, 1000, 1, 4).repartition(40), far, chunksize=100)
+    for path, most in ((near, 2), (far, 1)):
+        found = spark.read.parquet(path).groupBy("batch_id").agg(
+            F.count("*").alias("n"), F.count_distinct("_metadata.file_path").alias("files")
+        ).collect()
+        assert sorted(r.batch_id for r in found) == list(range(1, 11))
+        assert all(r.n == 100 and r.files <= most for r in found)
+
+
 def test_training_log(spark, tmp_path):
     lines = ["noise 1.5", "x -7.812 per-word bound, 224.7 perplexity estimate", "--8.0 per-word b, 3.5 perplexity", "tail"]
     (tmp_path / "a.log").write_text("\n".join(lines))

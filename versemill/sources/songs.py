@@ -69,6 +69,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below a path, on the file system it belongs to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+    return [status.getPath().getName() for status in found if status.isDirectory()]
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a finished write left its success marker in ``path``."""
     return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
@@ -77,6 +84,7 @@ def is_complete(spark: SparkSession, path: str) -> bool:
 __all__ = [
     "SONG_COLUMNS",
     "SONG_SCHEMA",
+    "folder_names",
     "is_complete",
     "path_exists",
     "read_parquet",
