@@ -299,12 +299,12 @@ cte(
 )
 
 
-def chosen_bigrams(df, lexicon=None):
-    return ngrams.filter_bigrams(_rounded(ngrams.bigram_pmi(df)), lexicon or tag_lexicon(df), words.ENGLISH)
+def chosen_bigrams(df):
+    return ngrams.filter_bigrams(_rounded(ngrams.bigram_pmi(df)), tag_lexicon(df), words.ENGLISH)
 
 
-def chosen_trigrams(df, lexicon=None):
-    return ngrams.filter_trigrams(_rounded(ngrams.trigram_pmi(df)), lexicon or tag_lexicon(df), words.ENGLISH)
+def chosen_trigrams(df):
+    return ngrams.filter_trigrams(_rounded(ngrams.trigram_pmi(df)), tag_lexicon(df), words.ENGLISH)
 
 
 @query("filter_bigrams", with_ctes("SELECT * FROM chosen_bigrams", "chosen_bigrams"))
@@ -331,7 +331,10 @@ def _(spark, sf):
 def _(spark, sf):
     df = staged_tokens(spark, sf)
     lexicon = stage(tag_lexicon(df), "tag-lexicon")
-    chosen = ngrams.ranked_phrases(chosen_trigrams(df, lexicon), chosen_bigrams(df, lexicon))
+    bigrams, trigrams = (_rounded(scores) for scores in ngrams.collocations(df))
+    chosen = ngrams.ranked_phrases(
+        ngrams.filter_trigrams(trigrams, lexicon, words.ENGLISH), ngrams.filter_bigrams(bigrams, lexicon, words.ENGLISH)
+    )
     return cleaned(spark, sf).select("id", ngrams.join_ngrams_in_text(F.col("lyrics"), chosen).alias("lyrics"))
 
 

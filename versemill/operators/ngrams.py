@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from versemill.functions.gram_counts import count_grams, found_phrases, gram_filter
 from versemill.joins import join_lookup
-from versemill.operators.unnest import unnest_structs
 from versemill.staging import stage
 
 # Settings of the collocation filters.
@@ -19,38 +19,25 @@ MIN_COUNT, MIN_PMI, TOP = 50, 5.0, 500
 REMNANTS = ("n", "t", "PRON")
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """Neighbouring tokens as an array of structs; never across documents."""
-    length = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
-    fields = ",".join(f"w{i}:string" for i in range(1, n + 1))
-    return F.arrays_zip(*[F.slice(tokens, i, length) for i in range(1, n + 1)]).cast(f"array<struct<{fields}>>")
+def gram_counts(df: DataFrame, longest: int, min_count: int, column: str = "tokens") -> list[DataFrame]:
+    """Written tables of the words ``(w1, n)``, pairs ``(w1, w2, n)`` and so on up to ``longest``.
 
-
-def ngram_and_word_counts(
-    df: DataFrame, n: int, min_count: int, column: str = "tokens"
-) -> tuple[DataFrame, DataFrame]:
-    """Written tables ``(w1, …, wn, n)`` and ``(word, n)`` from one pass over the texts.
-
-    N-grams are kept from ``min_count`` on, words all.
+    Words are kept all, n-grams from ``min_count`` on. An n-gram is at most as frequent as
+    its parts, so each length is counted in a pass that only looks at n-grams whose two
+    parts are frequent; what is rare never reaches a shuffle.
     """
-    words = [f"w{i}" for i in range(1, n + 1)]
-    tokens = F.col(column)
-    grams = ngrams(tokens, n)
-    single = F.transform(
-        tokens,
-        lambda t: F.struct(t.alias("w1"), *[F.lit(None).cast("string").alias(w) for w in words[1:]]),
-    )
-    counts = stage(
-        unnest_structs(df, F.concat(single, grams), words)
-        .groupBy(*words)
-        .agg(F.count("*").alias("n"))
-        .where(F.col("w2").isNull() | (F.col("n") >= min_count)),
-        "ngram-counts",
-    )
-    return (
-        counts.where(F.col("w2").isNotNull()),
-        counts.where(F.col("w2").isNull()).select(F.col("w1").alias("word"), "n"),
-    )
+    lists = df.select(column)
+    if longest > 1:
+        lists = stage(lists, "token-lists")
+    tables = [stage(count_grams(lists, 1), "gram-counts")]
+    for n in range(2, longest + 1):
+        frequent = None
+        if min_count > 1:
+            words = [f"w{i}" for i in range(1, n)]
+            bitmap = gram_filter(tables[-1].where(F.col("n") >= min_count), words)
+            frequent = df.sparkSession.sparkContext.broadcast(bitmap)
+        tables.append(stage(count_grams(lists, n, frequent).where(F.col("n") >= min_count), "gram-counts"))
+    return tables
 
 
 def with_word_counts(grams: DataFrame, counts: DataFrame, n: int) -> DataFrame:
@@ -62,11 +49,11 @@ def with_word_counts(grams: DataFrame, counts: DataFrame, n: int) -> DataFrame:
     return grams
 
 
-def _pmi(df: DataFrame, n: int, min_count: int, column: str) -> DataFrame:
-    grams, counts = ngram_and_word_counts(df, n, min_count, column)
+def _scored(tables: list[DataFrame], n: int, min_count: int) -> DataFrame:
+    counts = tables[0].withColumnRenamed("w1", "word")
     total = counts.agg(F.sum("n")).scalar().cast("double")
     # a part of a frequent n-gram is itself as frequent
-    scored = with_word_counts(grams, counts.where(F.col("n") >= min_count), n)
+    scored = with_word_counts(tables[n - 1], counts.where(F.col("n") >= min_count), n)
     parts = reduce(lambda a, b: a * b, [F.col(f"n{i}").cast("double") for i in range(1, n + 1)])
     together = F.col("n").cast("double") * reduce(lambda a, b: a * b, [total] * (n - 1))
     return scored.select(*[f"w{i}" for i in range(1, n + 1)], "n", F.log2(together / parts).alias("pmi"))
@@ -74,12 +61,20 @@ def _pmi(df: DataFrame, n: int, min_count: int, column: str) -> DataFrame:
 
 def bigram_pmi(df: DataFrame, min_count: int = MIN_COUNT, column: str = "tokens") -> DataFrame:
     """``(w1, w2, n, pmi)`` of pairs seen at least ``min_count`` times."""
-    return _pmi(df, 2, min_count, column)
+    return _scored(gram_counts(df, 2, min_count, column), 2, min_count)
 
 
 def trigram_pmi(df: DataFrame, min_count: int = MIN_COUNT, column: str = "tokens") -> DataFrame:
     """``(w1, w2, w3, n, pmi)`` of triples seen at least ``min_count`` times."""
-    return _pmi(df, 3, min_count, column)
+    return _scored(gram_counts(df, 3, min_count, column), 3, min_count)
+
+
+def collocations(
+    df: DataFrame, min_count: int = MIN_COUNT, column: str = "tokens"
+) -> tuple[DataFrame, DataFrame]:
+    """The tables of :func:`bigram_pmi` and :func:`trigram_pmi` from the same counts."""
+    tables = gram_counts(df, 3, min_count, column)
+    return _scored(tables, 2, min_count), _scored(tables, 3, min_count)
 
 
 def _filter_ngrams(
@@ -142,25 +137,31 @@ def ranked_phrases(trigrams: DataFrame, bigrams: DataFrame) -> list[str]:
     return [row.phrase for part in (trigrams, bigrams) for row in part.orderBy(*ranked).collect()]
 
 
+def join_ngrams_batch(texts: pa.Array, phrases: Sequence[str], find: Callable[[str], list[int]]) -> pa.Array:
+    """Join the phrases that ``find`` tells of, in the order of their places."""
+    out = []
+    for text in texts.to_pylist():
+        if text is not None:
+            for place in find(text):
+                text = text.replace(phrases[place], phrases[place].replace(" ", "_"))
+        out.append(text)
+    return pa.array(out, pa.string())
+
+
 def join_ngrams_in_text(text: Column, phrases: Sequence[str]) -> Column:
     """Join each phrase by underscores wherever it occurs, one after the other.
 
-    Later phrases see the text as the earlier ones left it. The search for up to a thousand
-    phrases per text is several times faster in an Arrow batch than as nested expressions.
+    Later phrases see the text as the earlier ones left it. An automaton of all phrases
+    reads a text once; a phrase that does not occur costs nothing.
     """
+    phrases = [p for p in phrases if p]
     if not phrases:
         return text
-    joined = [(p, p.replace(" ", "_")) for p in phrases]
 
     @F.arrow_udf(StringType())
-    def apply(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
-            if t is not None:
-                for phrase, whole in joined:
-                    if phrase in t:
-                        t = t.replace(phrase, whole)
-            out.append(t)
-        return pa.array(out, pa.string())
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        find = found_phrases(phrases)
+        for texts in batches:
+            yield join_ngrams_batch(texts, phrases, find)
 
     return apply(text)

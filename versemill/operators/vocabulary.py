@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from versemill.functions.gram_counts import row_counts
 from versemill.joins import join_lookup
 from versemill.operators.columns import filter_decades
 from versemill.operators.unnest import unnest, unnest_structs
@@ -80,13 +81,21 @@ def filter_vocabulary(
 
 
 def bag_of_words(df: DataFrame, vocabulary: DataFrame, column: str = "tokens", key: str = "id") -> DataFrame:
-    """``(id, term_id, term, tf)``; tokens outside the vocabulary are ignored."""
-    counts = unnest(df, column, "term", key).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """``(id, term_id, term, tf)``; tokens outside the vocabulary are ignored.
+
+    A document is one row; rows that repeat an id are counted apart.
+    """
+    counts = _term_counts(df, column, key).withColumnRenamed("n", "tf")
     return join_lookup(counts, vocabulary.select("term", "term_id"), ["term"], spread_by=[key, "term"]).select(
         key, "term_id", "term", "tf"
     )
 
 
+def _term_counts(df: DataFrame, column: str, *keep: str) -> DataFrame:
+    """``keep`` columns, ``term`` and ``n``; a document is one row, so it is counted where it lies."""
+    return unnest_structs(df, row_counts(F.col(column)), ["term", "n"], *keep)
+
+
 def vocabulary_terms(vocabulary: DataFrame, max_terms: int = MAX_MODEL_TERMS) -> list[str]:
     """The terms in id order, for a model; larger vocabularies must be filtered first."""
     size = vocabulary.count()
@@ -112,11 +121,7 @@ def vectorize(df: DataFrame, terms: Sequence[str], column: str = "tokens", outpu
 
 def term_document_matrix(df: DataFrame, decades: Sequence[int], column: str = "tokens", key: str = "id") -> DataFrame:
     """``(id, decade, term, n)`` for songs of the listed decades."""
-    return (
-        unnest(filter_decades(df, decades), column, "term", key, "decade")
-        .groupBy(key, "decade", "term")
-        .agg(F.count("*").alias("n"))
-    )
+    return _term_counts(filter_decades(df, decades), column, key, "decade")
 
 
 def term_document_matrix_decade(
