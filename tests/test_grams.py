@@ -96,7 +96,18 @@ def test_absent_phrases_are_never_looked_at():
     phrases = Watched(f"w{k} w{k + 1}" for k in range(1000))
     find = kernel.found_phrases(list(phrases))
     out = ngrams.join_ngrams_batch(pa.array(["w5 w6 w7 w9", "nothing", None]), phrases, find)
-    assert out.to_pylist() == ["w5_w6 w7 w9", "nothing", None] and seen == {5, 6}
+    assert out.to_pylist() == ["w5_w6_w7 w9", "nothing", None] and seen == {5, 6}
+
+
+def test_term_frequencies(spark):
+    df = spark.createDataFrame([(t,) for t in LISTS * 3], "tokens array<string>").repartition(4)
+    total, held = Counter(), Counter()
+    for tokens in LISTS * 3:
+        total.update(t for t in tokens or [] if t is not None)
+        held.update({t for t in tokens or [] if t is not None})
+    want = sorted((t, held[t], total[t]) for t in total)
+    assert rows(vocabulary.term_frequencies(df), "term", "doc_freq", "term_freq") == want
+    assert vocabulary.term_frequencies(df.where("false")).count() == 0
 
 
 def test_counts_need_no_exchange_by_document(spark):

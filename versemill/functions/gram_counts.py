@@ -90,6 +90,23 @@ def count_grams(lists: DataFrame, n: int, frequent: Broadcast[np.ndarray] | None
     return lists.mapInArrow(run, schema).groupBy(*words).agg(F.sum("n").alias("n"))
 
 
+def count_terms(lists: DataFrame) -> DataFrame:
+    """``(term, doc_freq, term_freq)`` over a frame of one column of token lists, a document per row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, codes, row = _coded(batch.column(0))
+            row, codes = row[codes >= 0], codes[codes >= 0]
+            in_rows = np.unique(row * np.int64(len(tokens) + 1) + codes) % (len(tokens) + 1)
+            counts = (np.bincount(c, minlength=len(tokens)) for c in (in_rows, codes))
+            yield pa.RecordBatch.from_arrays(
+                [tokens, *(pa.array(c.astype(np.int64)) for c in counts)], names=["term", "doc_freq", "term_freq"]
+            )
+
+    made = lists.mapInArrow(run, "term string, doc_freq long, term_freq long")
+    return made.groupBy("term").agg(F.sum("doc_freq").alias("doc_freq"), F.sum("term_freq").alias("term_freq"))
+
+
 def gram_filter(grams: DataFrame, words: list[str], bits: int = FILTER_BITS) -> np.ndarray:
     """A bitmap of ``bits`` bits of the n-grams in the columns ``words``.
 

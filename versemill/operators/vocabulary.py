@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from versemill.functions.gram_counts import row_counts
+from versemill.functions.gram_counts import count_terms, row_counts
 from versemill.joins import join_lookup
 from versemill.operators.columns import filter_decades
 from versemill.operators.unnest import unnest, unnest_structs
@@ -23,25 +23,8 @@ MAX_MODEL_TERMS = 2_000_000
 
 
 def term_frequencies(df: DataFrame, column: str = "tokens") -> DataFrame:
-    """``(term, doc_freq, term_freq)``.
-
-    A document is one row, so its distinct tokens are found within the row and no shuffle
-    by document is needed.
-    """
-
-    def entries(tokens, in_doc: int, in_text: int):
-        return F.transform(
-            tokens,
-            lambda t: F.struct(t.alias("term"), F.lit(in_doc).alias("d"), F.lit(in_text).alias("t")),
-        )
-
-    tokens = F.col(column)
-    both = F.concat(entries(F.array_distinct(tokens), 1, 0), entries(tokens, 0, 1))
-    return (
-        unnest_structs(df, both, ["term", "d", "t"])
-        .groupBy("term")
-        .agg(F.sum("d").alias("doc_freq"), F.sum("t").alias("term_freq"))
-    )
+    """``(term, doc_freq, term_freq)``; a document is one row, so no shuffle by document is needed."""
+    return count_terms(df.select(column))
 
 
 def build_vocabulary(df: DataFrame, column: str = "tokens") -> DataFrame:
