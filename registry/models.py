@@ -219,7 +219,7 @@ def _(spark, sf):
 @query("topic_distance")
 def _(spark, sf):
     model = fitted(spark, sf)[1]
-    return topic_views.topic_distance(topic_views.topic_term_probabilities(model), K)
+    return topic_views.topic_distance(topic_views.topic_blocks(model), K)
 
 
 @query("project_doc_topics")

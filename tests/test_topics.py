@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from registry.base import content_words
 from tests.conftest import rows
-from versemill.operators import embeddings, ngrams, phrases, topic_bound, topic_views, topics, vocabulary
+from versemill.operators import embeddings, ngrams, phrases, topic_bound, topic_matrix, topic_views, topics, vocabulary
 from versemill.operators.coherence import coherence_cv, topic_coherence
 from versemill.operators.topic_bound import digamma
 from versemill.plans import topic_runs
@@ -180,6 +180,70 @@ def test_same_seed_same_model_and_bound_sign(corpus, fitted):
     assert topics.lda_perplexity(again, corpus.documents) == pytest.approx(bound, rel=1e-6)
 
 
+@pytest.mark.parametrize("pieces,width", [(200_000, 1024), (7, 5), (1, 64)])
+def test_bound_without_broadcast(corpus, fitted, monkeypatch, pieces, width):
+    want = topic_bound.likelihood_bound(fitted.model, corpus.documents)
+    monkeypatch.setattr(topic_bound, "PIECES", pieces)
+    monkeypatch.setattr(topic_bound, "BLOCK_TERMS", width)
+
+    def forbidden(*_):
+        raise AssertionError("broadcast")
+
+    monkeypatch.setattr(topic_bound, "_by_broadcast", forbidden)
+    got = topic_bound.likelihood_bound(fitted.model, corpus.documents.repartition(3), max_bytes=0)
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_matrix_is_a_written_table_of_blocks(corpus, fitted, monkeypatch):
+    monkeypatch.setattr(topic_matrix, "SLAB", 100)
+    blocks = topic_matrix.write_blocks(corpus.documents.sparkSession, topics.term_probabilities(fitted), fitted.terms, 16)
+    got = sorted((r.block, r.terms, r.weights) for r in blocks.collect())
+    assert [t for _, terms, _ in got for t in terms] == list(corpus.terms)
+    assert np.array([w for _, _, ws in got for w in ws]).reshape(-1, 3) == pytest.approx(topics.term_probabilities(fitted))
+    for made in (
+        topic_views.topic_term_relevance(fitted, corpus.documents, 5, blocks=blocks),
+        topic_views.topic_distance(blocks, 3),
+    ):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "LocalRelation" not in plan and "LogicalRDD" not in plan
+    # the words of a model are its k x n best ones
+    assert topics.lda_topic_terms(fitted, 8).count() == 24
+    described = fitted.model.describeTopics(8).collect()
+    got = {(r.topic, r.rank): (r.term, r.weight) for r in topics.lda_topic_terms(fitted, 8).collect()}
+    for row in described:
+        for rank, (i, w) in enumerate(zip(row.termIndices, row.termWeights), 1):
+            assert got[row.topic, rank] == (corpus.terms[i], pytest.approx(w))
+
+
+def test_relevance_of_given_probabilities(spark):
+    given = [(0, "a", 0.5), (0, "b", 0.5), (1, "a", 0.25), (1, "c", 0.5), (1, "é", 0.25), (0, "z", 0.0)]
+    blocks = topic_matrix.blocks_of(spark.createDataFrame(given, "topic int, term string, p double"), 2)
+    got = rows(topic_matrix.relevant_terms(blocks.repartition(3), [0.5, 0.5], 2, 0.0))
+    assert [(t, r, w, round(v, 6)) for t, r, w, v in got] == [
+        (0, 1, "b", round(math.log(2), 6)), (0, 2, "a", round(math.log(4 / 3), 6)),
+        (1, 1, "c", round(math.log(2), 6)), (1, 2, "é", round(math.log(2), 6)),
+    ]
+    assert rows(topic_matrix.long_form(blocks, 2).where("p > 0")) == sorted(g for g in given if g[2])
+
+
+def test_covariance_and_axes(spark, corpus, fitted):
+    generator = np.random.default_rng(1)
+    x = generator.random((50, 3)) @ np.diag([3, 1, 0.2])
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "theta array<double>").repartition(4)
+    got = topic_views.topic_covariance(df, 3)
+    want = np.cov(x.T)
+    assert [r[2] for r in rows(got)] == pytest.approx([want[i, j] for i in range(3) for j in range(i, 3)])
+    axes = topic_views.principal_axes(got, 3, 2)
+    values, vectors = np.linalg.eigh(want)
+    assert np.abs(axes.T @ vectors[:, ::-1][:, :2]) == pytest.approx(np.eye(2), abs=1e-9)
+    weights = {r.id: r.theta for r in topics.topic_distribution(fitted, corpus.documents).collect()}
+    made = topic_views.project_doc_topics(fitted, corpus.documents, 2)
+    axes = topic_views.principal_axes(topic_views.topic_covariance(topics.topic_distribution(fitted, corpus.documents), 3), 3, 2)
+    for row in made.collect():
+        assert (row.x, row.y) == pytest.approx(tuple(np.array(weights[row.id]) @ axes))
+    assert "mapPartitions" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_digamma():
     x = np.array([0.01, 0.5, 1.0, 2.5, 7.0, 100.0])
     step = 1e-6 * x

@@ -10,10 +10,11 @@ from datetime import datetime
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versemill.operators.coherence import topic_coherence
@@ -127,22 +128,24 @@ def _terms_frame(spark: SparkSession, terms: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(terms)), "term_id int, term string")
 
 
+def term_probabilities(fitted: TopicModel) -> np.ndarray:
+    """The probabilities of the terms, terms x topics."""
+    weights = fitted.model.topicsMatrix().toArray()
+    return weights / weights.sum(axis=0)
+
+
 def lda_topic_terms(fitted: TopicModel, n_terms: int = 10) -> DataFrame:
-    """``(topic, rank, term, weight)``: the top terms of each topic."""
-    described = fitted.model.describeTopics(n_terms).select(
-        "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "t")
-    )
-    terms = _terms_frame(described.sparkSession, fitted.terms)
-    return (
-        described.select(
-            "topic",
-            (F.col("pos") + 1).alias("rank"),
-            F.col("t.termIndices").alias("term_id"),
-            F.col("t.termWeights").alias("weight"),
-        )
-        .join(terms, "term_id")
-        .select("topic", "rank", "term", "weight")
-    )
+    """``(topic, rank, term, weight)``: the top terms of each topic, ties by place in the vocabulary.
+
+    The best are picked from the model's matrix without sorting it; the frame holds them alone.
+    """
+    found = []
+    for topic, column in enumerate(term_probabilities(fitted).T):
+        n = min(n_terms, len(column))
+        at = np.flatnonzero(column >= np.partition(column, len(column) - n)[len(column) - n]) if n else []
+        best = sorted(at, key=lambda i: (-column[i], i))[:n]
+        found += [(topic, rank, fitted.terms[i], float(column[i])) for rank, i in enumerate(best, 1)]
+    return SparkSession.active().createDataFrame(found, "topic int, rank int, term string, weight double")
 
 
 def topic_distribution(fitted: TopicModel, documents: DataFrame) -> DataFrame:
@@ -155,11 +158,15 @@ def lda_doc_topics(fitted: TopicModel, documents: DataFrame, key: str = "id") ->
     return topic_distribution(fitted, documents).select(key, F.posexplode("theta").alias("topic", "weight"))
 
 
+def dominant_topic(theta: str) -> Column:
+    """The heaviest topic of an array of weights; the first of equal ones."""
+    return (F.array_position(theta, F.array_max(theta)) - 1).cast("int")
+
+
 def lda_dominant_topic(fitted: TopicModel, documents: DataFrame, key: str = "id") -> DataFrame:
     """``(id, topic, weight)`` of the heaviest topic; the first of equal ones."""
-    heaviest = F.array_max("theta")
     return topic_distribution(fitted, documents).select(
-        key, (F.array_position("theta", heaviest) - 1).cast("int").alias("topic"), heaviest.alias("weight")
+        key, dominant_topic("theta").alias("topic"), F.array_max("theta").alias("weight")
     )
 
 
