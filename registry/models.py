@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from registry.base import content_words, cte, query, songs, with_ctes
 from registry.tables import decade_songs
 from versemill.functions import text
-from versemill.operators import embeddings, topic_views, topics, vocabulary
+from versemill.operators import embeddings, topic_matrix, topic_views, topics, vocabulary
 from versemill.operators.coherence import EPSILON, WINDOW, coherence_cv
 from versemill.operators.topic_bound import likelihood_bound
 from versemill.operators.unnest import unnest
@@ -228,6 +228,132 @@ def _(spark, sf):
     return topic_views.project_doc_topics(model, data.documents, 2)
 
 
+# --- the same formulas on given weights, which SQL can follow --------------------------
+
+# weights of four topics: shares of the words of each length modulo four, smoothed
+_GIVEN = ", ".join(f"(len(list_filter(tokens, lambda t: length(t) % 4 = {t})) + 1.0) / (len(tokens) + 4.0)" for t in range(4))
+cte(
+    "given_weights",
+    f"SELECT id, CAST(len(tokens) AS BIGINT) AS length, [{_GIVEN}] AS theta FROM content",
+    "content",
+)
+cte(
+    "given_long",
+    "SELECT id, length, unnest(range(4)) AS topic, unnest(theta) AS weight FROM given_weights",
+    "given_weights",
+)
+
+
+def given_weights(spark, sf):
+    tokens, size = F.col("tokens"), F.size("tokens")
+
+    def share(topic):
+        fits = F.filter(tokens, lambda t: F.char_length(t) % 4 == topic)
+        return (F.size(fits) + 1).cast("double") / (size + 4).cast("double")
+
+    return content_words(spark, sf).select("id", size.cast("long").alias("length"), F.array(*map(share, range(4))).alias("theta"))
+
+
+@query(
+    "topic_share_given",
+    with_ctes(
+        "SELECT CAST(topic AS INTEGER) AS topic, round(sum(weight * length) / (SELECT sum(weight * length) FROM given_long), 6)"
+        " AS share FROM given_long GROUP BY topic",
+        "given_long",
+    ),
+)
+def _(spark, sf):
+    return topic_views.weighted_share(given_weights(spark, sf)).withColumn("share", F.round("share", 6))
+
+
+@query(
+    "dominant_topic_given",
+    with_ctes(
+        "SELECT id, CAST(list_position(theta, list_max(theta)) - 1 AS INTEGER) AS topic, round(list_max(theta), 6) AS weight"
+        " FROM given_weights",
+        "given_weights",
+    ),
+)
+def _(spark, sf):
+    return given_weights(spark, sf).select(
+        "id", topics.dominant_topic("theta").alias("topic"), F.round(F.array_max("theta"), 6).alias("weight")
+    )
+
+
+@query(
+    "topic_covariance_given",
+    with_ctes(
+        "SELECT CAST(a.topic AS INTEGER) AS i, CAST(b.topic AS INTEGER) AS j, round(covar_samp(a.weight, b.weight), 6) AS covariance"
+        " FROM given_long a JOIN given_long b ON a.id = b.id AND a.topic <= b.topic GROUP BY a.topic, b.topic",
+        "given_long",
+    ),
+)
+def _(spark, sf):
+    found = topic_views.topic_covariance(given_weights(spark, sf), 4)
+    return found.withColumn("covariance", F.round("covariance", 6))
+
+
+# probabilities of the words within each genre, the genres in the order of their names
+cte(
+    "given_counts",
+    "SELECT CAST(dense_rank() OVER (ORDER BY tag) - 1 AS INTEGER) AS topic, term, n FROM"
+    " (SELECT tag, term, count(*) AS n FROM (SELECT tag, unnest(tokens) AS term FROM content) GROUP BY ALL)",
+    "content",
+)
+cte(
+    "given_p",
+    "SELECT topic, term, n / sum(n) OVER (PARTITION BY topic) AS p,"
+    " sum(n) OVER (PARTITION BY topic) / sum(n) OVER () AS share FROM given_counts",
+    "given_counts",
+)
+cte("given_term", "SELECT term, sum(p * share) AS p_term FROM given_p GROUP BY term", "given_p")
+
+
+def given_probabilities(spark, sf):
+    """``(topic, term, p)`` and the share of each topic."""
+    counts = stage(unnest(content_words(spark, sf), "tokens", "term", "tag").groupBy("tag", "term").count(), "given")
+    sizes = {row.tag: row.n for row in counts.groupBy("tag").agg(F.sum("count").alias("n")).orderBy("tag").collect()}
+    tag = F.array(*map(F.lit, sizes))
+    topic = (F.array_position(tag, F.col("tag")) - 1).cast("int")
+    size = F.get(F.array(*map(F.lit, sizes.values())), topic)
+    total = sum(sizes.values())
+    return counts.select(topic.alias("topic"), "term", (F.col("count") / size).alias("p")), [n / total for n in sizes.values()]
+
+
+@query(
+    "topic_term_relevance_given",
+    with_ctes(
+        "SELECT topic, CAST(rank AS INTEGER) AS rank, term, round(relevance, 6) AS relevance FROM (SELECT topic, term, relevance,"
+        " row_number() OVER (PARTITION BY topic ORDER BY round(relevance, 9) DESC, term) AS rank FROM"
+        " (SELECT topic, term, 0.6 * ln(p) + 0.4 * ln(p / p_term) AS relevance FROM given_p JOIN given_term USING (term)))"
+        " WHERE rank <= 15",
+        "given_p",
+        "given_term",
+    ),
+)
+def _(spark, sf):
+    p, shares = given_probabilities(spark, sf)
+    found = topic_matrix.relevant_terms(topic_matrix.blocks_of(p, len(shares)), shares, 15, 0.6)
+    return found.withColumn("relevance", F.round("relevance", 6))
+
+
+@query(
+    "topic_distance_given",
+    with_ctes(
+        "SELECT topic_a, topic_b, round(sqrt(sum(CASE WHEN pa > 0 THEN pa * ln(2 * pa / (pa + pb)) ELSE 0 END"
+        " + CASE WHEN pb > 0 THEN pb * ln(2 * pb / (pa + pb)) ELSE 0 END) / 2), 6) AS distance FROM"
+        " (SELECT x.topic AS topic_a, y.topic AS topic_b, t.term, coalesce(a.p, 0) AS pa, coalesce(b.p, 0) AS pb"
+        " FROM (SELECT DISTINCT topic FROM given_p) x JOIN (SELECT DISTINCT topic FROM given_p) y ON x.topic < y.topic,"
+        " (SELECT DISTINCT term FROM given_p) t LEFT JOIN given_p a ON a.topic = x.topic AND a.term = t.term"
+        " LEFT JOIN given_p b ON b.topic = y.topic AND b.term = t.term) GROUP BY topic_a, topic_b",
+        "given_p",
+    ),
+)
+def _(spark, sf):
+    p, shares = given_probabilities(spark, sf)
+    return topic_views.topic_distance(p, len(shares)).withColumn("distance", F.round("distance", 6))
+
+
 # --- embedding topics ------------------------------------------------------------------
 
 
@@ -279,5 +405,5 @@ cte(
 )
 def _(spark, sf):
     df = read_spread(spark, f"{sf}/embeddings.parquet")
-    centres = stage(embeddings.label_centroids(df), "centres")
-    return embeddings.search_each_label(df, centres, 5)
+    centres = {row.label: row.centre for row in embeddings.label_centroids(df).collect()}
+    return embeddings.search_documents_by_topic(df, centres, 5, label="label", digits=6)

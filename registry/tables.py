@@ -517,7 +517,7 @@ def _(spark, sf):
 
 @query("explode_features", with_ctes("SELECT artist_id, feature_name FROM exploded_features", "exploded_features"))
 def _(spark, sf):
-    return artists.explode_features(artists.artist_features(trusted(spark, sf))).select("artist_id", "feature_name")
+    return artists.explode_features(artists.artist_feature_sets(trusted(spark, sf))).select("artist_id", "feature_name")
 
 
 @query(
@@ -525,7 +525,7 @@ def _(spark, sf):
     with_ctes("SELECT artist_id, replace(feature_name, ';', ' ') AS feature_name FROM exploded_features", "exploded_features"),
 )
 def _(spark, sf):
-    rows = artists.explode_features(artists.artist_features(trusted(spark, sf)))
+    rows = artists.explode_features(artists.artist_feature_sets(trusted(spark, sf)))
     return artists.feature_display_name(rows).select("artist_id", "feature_name")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from versemill.operators import artists, columns, profile, stats
+from versemill.plans import etl
 
 
 def years(spark, *values):
@@ -92,6 +93,19 @@ def test_feature_rows(spark):
     assert rows(out, "artist_id", "feature_name") == [("1", "X"), ("1", "X"), ("1", "Y Z")]
 
 
+def test_exploded_rows_carry_no_array(spark):
+    sets = artists.artist_feature_sets(featured(spark))
+    whole = artists.explode_features(artists.artist_features(featured(spark)))
+    out = artists.explode_features(sets)
+    assert rows(out, "artist_id", "feature_name") == rows(whole, "artist_id", "feature_name")
+    slim, full = (etl.artists_etl(featured(spark), with_features=w) for w in (False, True))
+    for made in (out, slim):
+        assert not any(kind.startswith("array") for _, kind in made.dtypes)
+    assert rows(slim) == [("1", "a", 3, 3, name) for name in ("X", "X", "Y Z")]
+    assert rows(full.drop("features")) == rows(slim)
+    assert {tuple(r.features) for r in full.collect()} == {("X", "X", "Y;Z")}
+
+
 def test_self_join_gives_the_same_sets(spark):
     songs = featured(spark)
     kept = artists.drop_empty_features(songs).select("artist_id", "features")

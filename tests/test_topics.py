@@ -360,6 +360,28 @@ def test_embedding_topics(spark):
 
 
 def test_search_by_topic(spark):
-    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 1.0]), (4, [2.0, 0.0])], "vec_id int, embedding array<double>")
-    got = embeddings.search_documents_by_topic(df, [1.0, 0.0], 3).collect()
-    assert [(r.vec_id, round(r.score, 4)) for r in got] == [(1, 1.0), (4, 1.0), (2, 0.7071)]
+    data = [(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 1.0]), (4, [2.0, 0.0]), (5, [0.0, 0.0]), (6, None)]
+    df = spark.createDataFrame(data, "vec_id int, embedding array<double>").repartition(3)
+    got = embeddings.search_documents_by_topic(df, [[1.0, 0.0], [0.0, 3.0]], 3)
+    assert [(t, i, round(s, 4)) for t, i, s in sorted(map(tuple, got.collect()), key=lambda r: (r[0], -r[2], r[1]))] == [
+        (0, 1, 1.0), (0, 4, 1.0), (0, 2, 0.7071), (1, 3, 1.0), (1, 2, 0.7071), (1, 1, 0.0),
+    ]
+    named = df.withColumn("label", F.when(F.col("vec_id") % 2 == 0, "even").otherwise("odd"))
+    got = embeddings.search_documents_by_topic(named, {"odd": [1.0, 0.0], "even": [1.0, 0.0]}, 1, label="label", digits=6)
+    assert rows(got) == [("even", 4, 1.0), ("odd", 1, 1.0)]
+    assert embeddings.search_documents_by_topic(df.where("vec_id > 4"), [[1.0, 0.0]]).count() == 0
+
+
+def test_search_shuffles_no_vector(spark):
+    generator = np.random.default_rng(2)
+    x = generator.normal(size=(400, 6)).round(1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id int, embedding array<float>").repartition(5)
+    centres = generator.normal(size=(4, 6))
+    found = embeddings.search_documents_by_topic(df, centres, 7)
+    x32 = x.astype(np.float32).astype(float)
+    cosines = (x32 @ centres.T) / np.linalg.norm(x32, axis=1)[:, None] / np.linalg.norm(centres, axis=1)
+    want = sorted((t, i) for t in range(4) for i in sorted(range(400), key=lambda i: (-cosines[i, t], i))[:7])
+    assert rows(found, "topic", "vec_id") == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hash" in line]
+    assert exchanges and plan.index("MapInArrow") > plan.index("Exchange hash")

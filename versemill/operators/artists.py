@@ -57,7 +57,11 @@ def artist_feature_sets(df: DataFrame) -> DataFrame:
 
 
 def artist_features(df: DataFrame) -> DataFrame:
-    """Per artist the elements of their distinct feature arrays, and how many."""
+    """Per artist the elements of their distinct feature arrays, and how many.
+
+    The result holds one array per artist by definition. Nothing else here builds it:
+    :func:`explode_features` and :func:`feature_counts` work on the distinct arrays.
+    """
     return (
         artist_feature_sets(df)
         .groupBy("artist_id", "artist_name", "num_songs")
@@ -66,9 +70,18 @@ def artist_features(df: DataFrame) -> DataFrame:
     )
 
 
+def feature_counts(sets: DataFrame) -> DataFrame:
+    """``(artist_id, num_features)`` of distinct feature arrays; sums are combined before the shuffle."""
+    return sets.groupBy("artist_id").agg(F.sum(F.size("features")).cast("int").alias("num_features"))
+
+
 def explode_features(df: DataFrame) -> DataFrame:
-    """One row per artist and feature; empty arrays give no row."""
-    return df.withColumn("feature_name", F.explode("features"))
+    """One row per artist and feature, without the arrays; empty arrays give no row.
+
+    ``df`` holds the distinct arrays of :func:`artist_feature_sets`, so no array of a whole
+    artist is ever built, or those of :func:`artist_features`; the rows are the same.
+    """
+    return df.select(*(c for c in df.columns if c != "features"), F.explode("features").alias("feature_name"))
 
 
 def feature_display_name(df: DataFrame) -> DataFrame:

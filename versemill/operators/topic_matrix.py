@@ -93,7 +93,8 @@ def relevant_terms(blocks: DataFrame, shares: Sequence[float], n_terms: int, wei
         for batch in batches:
             p = _numbers(batch, k)
             with np.errstate(divide="ignore", invalid="ignore"):
-                scores = weight * np.log(p) + (1 - weight) * np.log(p / (p @ shares)[:, None])
+                # summed row by row, so that equal terms score alike wherever they lie
+                scores = weight * np.log(p) + (1 - weight) * np.log(p / (p * shares).sum(axis=1, keepdims=True))
             scores[p <= 0] = np.nan
             found = list(zip(*best_per_topic(batch.column("terms").flatten().to_pylist(), scores, n_terms)))
             columns = found or [[], [], []]

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versemill.joins import join_lookup
 from versemill.operators import artists, columns
 from versemill.sources.songs import read_parquet, write_parquet
+from versemill.staging import stage
 
 
 def prefilter_steps() -> dict[str, Column]:
@@ -35,9 +37,21 @@ def songs_etl(df: DataFrame, min_songs: int = artists.MIN_SONGS) -> DataFrame:
     return df.withColumn("features", columns.clean_features(F.col("features")))
 
 
-def artists_etl(songs: DataFrame) -> DataFrame:
-    """The trusted song table to one row per artist and featured artist."""
-    return artists.feature_display_name(artists.explode_features(artists.artist_features(songs)))
+def artists_etl(songs: DataFrame, with_features: bool = True) -> DataFrame:
+    """The trusted song table to one row per artist and featured artist.
+
+    Without ``with_features`` the array of all features of the artist is left out, and no
+    row carries one.
+    """
+    sets = stage(artists.artist_feature_sets(songs), "feature-sets")
+    rows = artists.feature_display_name(artists.explode_features(sets))
+    rows = join_lookup(rows, artists.feature_counts(sets), ["artist_id"], spread_by=["feature_name"])
+    columns_out = ["artist_id", "artist_name", "num_songs", "num_features", "feature_name"]
+    if with_features:
+        whole = artists.artist_features(sets).select("artist_id", "features")
+        rows = join_lookup(rows, whole, ["artist_id"], spread_by=["feature_name"])
+        columns_out.insert(3, "features")
+    return rows.select(*columns_out)
 
 
 def run_etl(spark: SparkSession, raw: str, songs_out: str, artists_out: str, min_songs: int = artists.MIN_SONGS) -> None:
