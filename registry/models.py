@@ -21,14 +21,14 @@ from versemill.staging import new_path, stage
 K, PASSES = 5, 5
 
 
-def keep_terms(terms, n_docs):
-    """A vocabulary cut that suits small corpora too: in at least three and at most 80 % of the texts."""
-    return vocabulary.filter_vocabulary(terms, n_docs, no_below=3)
+# a vocabulary cut that suits small corpora too: in at least three texts
+NO_BELOW = 3
 
 
 def corpus(spark, sf):
     df = stage(content_words(spark, sf).select("id", "tokens"), "content")
-    return topics.make_corpus(df, keep_terms(vocabulary.build_vocabulary(df), df.count()))
+    terms = vocabulary.filter_vocabulary(vocabulary.build_vocabulary(df), df.count(), no_below=NO_BELOW)
+    return topics.make_corpus(df, terms)
 
 
 def fitted(spark, sf, **settings):
@@ -179,7 +179,7 @@ def _(spark, sf):
 
 def decade_runs(spark, sf):
     df = content_words(spark, sf).select("id", "decade", "tokens")
-    return topic_runs.lda_by_decade(df, k=3, passes=PASSES, keep_terms=keep_terms)
+    return topic_runs.lda_by_decade(df, k=3, passes=PASSES, no_below=NO_BELOW)
 
 
 @query("lda_by_decade")
@@ -197,7 +197,7 @@ def _(spark, sf):
     df = decade_songs(spark, sf)
     lyrics = F.coalesce(text.clean_text(F.col("lyrics")), F.lit(""))
     return topic_runs.topics_for_genre_decade(
-        df.withColumn("lyrics", lyrics), "rap", "2010", k=3, passes=PASSES, min_count=5, threshold=100.0, keep_terms=keep_terms
+        df.withColumn("lyrics", lyrics), "rap", "2010", k=3, passes=PASSES, min_count=5, threshold=100.0, no_below=NO_BELOW
     )
 
 

@@ -331,9 +331,17 @@ def test_projection(corpus, fitted):
 
 def test_models_per_decade(spark):
     df = stage(content_words(spark, SF).select("id", "decade", "tokens"), "content")
-    keep = lambda terms, n: vocabulary.filter_vocabulary(terms, n, no_below=3)
-    runs = topic_runs.lda_by_decade(df, [1970, 1990, 1850], k=2, keep_terms=keep, passes=1)
+    runs = topic_runs.lda_by_decade(df, [1970, 1990, 1850], k=2, no_below=3, passes=1)
     assert [r.decade for r in runs] == [1970, 1990]
+    for run in runs:
+        songs = df.where(F.col("decade") == run.decade)
+        alone = vocabulary.filter_vocabulary(vocabulary.build_vocabulary(songs), songs.count(), no_below=3)
+        assert list(run.corpus.terms) == vocabulary.vocabulary_terms(alone) and run.corpus.n_docs == songs.count()
+        counted = run.corpus.documents.select("id", "features").collect()
+        want = {r.id: Counter(r.tokens) for r in songs.collect()}
+        for r in counted:
+            got = {run.corpus.terms[i]: n for i, n in zip(r.features.indices, r.features.values)}
+            assert got == {t: n for t, n in want[r.id].items() if t in set(run.corpus.terms)}
     metrics = rows(topic_runs.lda_metrics_by_decade(runs))
     for run, (decade, coherence, bound) in zip(runs, metrics):
         alone = coherence_cv(run.corpus.documents, topics.lda_topic_terms(run.fitted, 20)).first()[0]
@@ -342,6 +350,45 @@ def test_models_per_decade(spark):
         topic_runs.lda_by_decade(df, [1850])
 
 
+def test_vocabulary_cut_of_groups(spark):
+    lists = [["a", "b"], ["a", "c"], ["a", "b", "b"], ["d"], ["d", "a"], ["d", "b"], []]
+    df = spark.createDataFrame([(k, k % 2 if k < 6 else 5, t) for k, t in enumerate(lists)], "id int, g int, tokens array<string>")
+    for no_below, no_above, keep_n in ((1, 1.0, 10), (2, 1.0, 10), (1, 0.7, 10), (1, 1.0, 1), (2, 1.0, 2)):
+        found = vocabulary.group_vocabularies(df, "g", no_below, no_above, keep_n)
+        for g in (0, 1, 5):
+            part = df.where(F.col("g") == g)
+            alone = vocabulary.filter_vocabulary(vocabulary.build_vocabulary(part), part.count(), no_below, no_above, keep_n)
+            assert found[g] == (vocabulary.vocabulary_terms(alone), part.count())
+    with pytest.raises(ValueError):
+        vocabulary.group_vocabularies(df, "g", 1, 1.0, max_terms=2)
+
+
+def test_scans_do_not_grow_with_the_groups(spark, monkeypatch):
+    labels = []
+
+    def counted(df, label, partition_by=None):
+        labels.append(label)
+        return stage(df, label, partition_by)
+
+    for module in (topic_runs, vocabulary):
+        monkeypatch.setattr(module, "stage", counted)
+    counts = []
+    for groups in (2, 6):
+        df = spark.range(60).select("id", (F.col("id") % groups).alias("g"), F.array(F.lit("a"), F.lit("b")).alias("tokens"))
+        labels.clear()
+        assert len(topic_runs.group_corpora(df, "g", no_below=1, no_above=1.0)) == groups
+        counts.append(len(labels))
+    assert counts == [3, 3]
+
+
+def test_jobs_in_pools(spark):
+    pools = topic_runs.in_pools(
+        spark.range(1), {f"p{i}": lambda i=i: (i, spark.sparkContext.getLocalProperty("spark.scheduler.pool")) for i in range(5)}, 3
+    )
+    assert pools == [(i, f"p{i}") for i in range(5)]
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+
+
 def test_embedding_topics(spark):
     data = [(i, ["sun", "sky", "blue"] if i % 2 else ["night", "moon", "dark"]) for i in range(40)] + [(99, ["rare"])]
     df = spark.createDataFrame(data, "id int, tokens array<string>")

@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from versemill.functions.gram_counts import count_terms, row_counts
 from versemill.joins import join_lookup
 from versemill.operators.columns import filter_decades
 from versemill.operators.unnest import unnest, unnest_structs
-from versemill.staging import with_row_index
+from versemill.staging import stage, with_row_index
 
 # Vocabulary limits of the second topic pipeline.
 NO_BELOW, NO_ABOVE, KEEP_N = 100, 0.8, 100_000
@@ -63,6 +64,49 @@ def filter_vocabulary(
     )
 
 
+def group_vocabularies(
+    df: DataFrame,
+    group: str,
+    no_below: int = NO_BELOW,
+    no_above: float = NO_ABOVE,
+    keep_n: int = KEEP_N,
+    column: str = "tokens",
+    max_terms: int = MAX_MODEL_TERMS,
+) -> dict[object, tuple[list[str], int]]:
+    """The filtered vocabulary of each value of ``group``, in order, and its number of documents.
+
+    All groups are counted in one pass. The rules are those of :func:`filter_vocabulary`,
+    each group by its own documents; at most ``keep_n`` terms of a group reach the driver.
+    """
+    counts = (
+        _term_counts(df, column, group)
+        .groupBy(group, "term")
+        .agg(F.count("*").alias("doc_freq"))
+        .where(F.col("doc_freq") >= no_below)
+    )
+    # one row per group
+    sizes = {row[0]: row[1] for row in df.groupBy(group).agg(F.count("*")).collect()}
+    limits = df.sparkSession.createDataFrame(
+        [(g, float(no_above * n)) for g, n in sizes.items()], StructType([df.schema[group], StructField("_most", DoubleType())])
+    )
+    ranked = Window.partitionBy(group).orderBy(F.desc("doc_freq"), "term")
+    kept = (
+        counts.join(F.broadcast(limits), group)
+        .where(F.col("doc_freq") <= F.col("_most"))
+        .withColumn("_rank", F.row_number().over(ranked))
+        .where(F.col("_rank") <= keep_n)
+        .select(group, "term")
+    )
+    kept = stage(kept, "group-vocabularies")
+    size = kept.count()
+    if size > max_terms:
+        raise ValueError(f"{size} terms of all groups exceed {max_terms}; choose a smaller keep_n")
+    terms: dict[object, list[str]] = {g: [] for g in sizes}
+    for row in kept.toLocalIterator():
+        terms[row[0]].append(row.term)
+    return {g: (sorted(terms[g]), n) for g, n in sizes.items()}
+
+
 def bag_of_words(df: DataFrame, vocabulary: DataFrame, column: str = "tokens", key: str = "id") -> DataFrame:
     """``(id, term_id, term, tf)``; tokens outside the vocabulary are ignored.
 
