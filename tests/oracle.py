@@ -58,6 +58,7 @@ def difference(df, connection, sql: str) -> str | None:
 def main() -> None:
     from __spark_entry__ import oracle_sql, queries
     from versemill.session import local_session
+    from versemill.staging import scope
 
     sf, names = sys.argv[1], sys.argv[2:]
     spark = local_session(8)
@@ -69,14 +70,15 @@ def main() -> None:
             continue
         start = time.time()
         try:
-            df = function(spark, sf)
-            if name in oracles:
-                found = difference(df, connection, oracles[name])
-            else:
-                rows = df.collect()
-                found = None if rows else "no rows"
-                if names:
-                    print(*rows[:6], sep="\n")
+            with scope():
+                df = function(spark, sf)
+                if name in oracles:
+                    found = difference(df, connection, oracles[name])
+                else:
+                    rows = df.collect()
+                    found = None if rows else "no rows"
+                    if names:
+                        print(*rows[:6], sep="\n")
         except Exception as error:  # report and go on with the next query
             found = f"{type(error).__name__}: {str(error)[:600]}"
         failed += found is not None

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from versemill.operators.sampling import load_or_create_sample
+from versemill.plans.topic_runs import in_pools
 from versemill.sources import batches, logs
 from versemill.sources import songs as source
-from versemill.staging import new_path, with_row_index, work_dir
+from versemill.staging import new_path, scope, stage, with_row_index, work_dir
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -140,5 +141,35 @@ def test_sample_is_created_once(spark):
     assert calls == [1]
 
 
+def test_staged_tables_go_with_their_scope(spark):
+    outside = stage(spark.range(3), "outside")
+    with scope() as made:
+        inside = stage(spark.range(5), "inside")
+        with scope() as inner:
+            kept = inner.keep(new_path(spark, "kept"))
+            spark.range(7).write.parquet(kept)
+            gone = stage(spark.range(2), "gone")
+            path = inner.paths[-1]
+            assert gone.count() == 2
+        assert not source.path_exists(spark, path) and source.path_exists(spark, kept)
+        assert inside.count() == 5
+        paths = list(made.paths)
+        assert len(paths) == 1
+    assert not source.path_exists(spark, paths[0])
+    assert outside.count() == 3
+    with pytest.raises(ZeroDivisionError):
+        with scope() as made:
+            stage(spark.range(1), "failed")
+            paths = list(made.paths)
+            1 / 0
+    assert not source.path_exists(spark, paths[0])
+
+
+def test_threads_stage_within_the_callers_scope(spark):
+    with scope() as made:
+        in_pools(spark.range(1), {f"p{i}": lambda: stage(spark.range(1), "pooled").count() for i in range(4)}, 2)
+        assert len(made.paths) == 4
+
+
 def test_work_dir_is_stable(spark):
     assert work_dir(spark) == work_dir(spark)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from versemill.joins import join_lookup
 from versemill.operators import artists, columns
 from versemill.sources.songs import read_parquet, write_parquet
-from versemill.staging import stage
+from versemill.staging import scope, stage
 
 
 def prefilter_steps() -> dict[str, Column]:
@@ -56,5 +56,6 @@ def artists_etl(songs: DataFrame, with_features: bool = True) -> DataFrame:
 
 def run_etl(spark: SparkSession, raw: str, songs_out: str, artists_out: str, min_songs: int = artists.MIN_SONGS) -> None:
     """Read raw songs, write both tables; the second job reads what the first one wrote."""
-    write_parquet(songs_etl(read_parquet(spark, raw), min_songs), songs_out, mode="overwrite")
-    write_parquet(artists_etl(read_parquet(spark, songs_out)), artists_out, mode="overwrite")
+    with scope():
+        write_parquet(songs_etl(read_parquet(spark, raw), min_songs), songs_out, mode="overwrite")
+        write_parquet(artists_etl(read_parquet(spark, songs_out)), artists_out, mode="overwrite")

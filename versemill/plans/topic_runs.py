@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextvars import copy_context
 from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
@@ -40,9 +41,11 @@ def in_pools(df: DataFrame, tasks: dict[str, Callable[[], object]], parallelism:
     context = spark.sparkContext
 
     def in_pool(name: str, task: Callable[[], object]) -> Callable[[], object]:
+        scoped = copy_context()  # what the task stages belongs to the caller's scope
+
         def run() -> object:
             context.setLocalProperty("spark.scheduler.pool", name)
-            return task()
+            return scoped.run(task)
 
         # wrapped one by one: each has local properties of its own
         return inheritable_thread_target(spark)(run)
