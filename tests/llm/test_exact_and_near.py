@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -101,6 +102,21 @@ def test_near_components_equal_brute_force(spark, words):
     assert rows(got, "doc_id", "n_shingles", "component_id", "kept") == brute_near(given, words, 80)
 
 
+def test_near_group_around_the_threshold(spark):
+    # edited copies whose pairs lie just below and just above the threshold
+    base, given = prose(41, 300, 4000).split(), []
+    generator = random.Random(7)
+    for copy in range(90):
+        words = list(base)
+        for k in generator.sample(range(300), 4 + copy % 4):
+            words[k] = f"edit{copy}x{k}"
+        given.append((copy, " ".join(words)))
+    want = brute_near(given, 4, 80)
+    got = minhash.near_duplicates(documents(spark, given), words=4)
+    assert rows(got, "doc_id", "n_shingles", "component_id", "kept") == want
+    assert 1 < len({r[2] for r in want}) < 90
+
+
 def test_near_repeated_and_null_ids(spark):
     text = prose(1, 50)
     docs = documents(spark, [(2, text), (2, text), (None, text), (None, "alone here"), (3, text + " more")])

@@ -434,10 +434,13 @@ def _links_across(found: _Classes, classes: DataFrame, sets: DataFrame) -> DataF
         .withColumn("place", F.row_number().over(by_order) + alone)
         .where(F.col("place") <= rest)
         .join(found.members.select("class", "low1", "low2"), "class")
-        .select("shingle", "class", "n", "component", "outside", "low1", "low2"),
+        .select("shingle", "class", "n", "component", "outside", "low1", "low2", (F.col("n") - F.col("place")).alias("after")),
         "minhash-first-tokens",
     )
     one, other = first.where("outside").alias("one"), first.alias("other")
+    # at its first common shingle a pair can share that one and what comes after it in both
+    most = F.least("one.after", "other.after") + 1
+    enough = (100 + found.percent) * most >= found.percent * (F.col("one.n") + F.col("other.n"))
     # a pair of two outside classes is met from both sides, and taken once
     once = ~F.col("other.outside") | (F.col("one.class") < F.col("other.class"))
     pairs = one.join(
@@ -445,6 +448,7 @@ def _links_across(found: _Classes, classes: DataFrame, sets: DataFrame) -> DataF
         (F.col("one.shingle") == F.col("other.shingle"))
         & (F.col("one.component") != F.col("other.component"))
         & once
+        & enough
         & found.plausible("one", "other"),
     ).select(F.least("one.class", "other.class").alias("a"), F.greatest("one.class", "other.class").alias("b"))
     return found.verify(stage(pairs.distinct(), "minhash-across"), sets)
