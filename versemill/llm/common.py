@@ -7,6 +7,7 @@ be unique or present: where rows must be told apart, a written table numbers the
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
@@ -42,8 +43,31 @@ def numbered(df: DataFrame, label: str, name: str = "row") -> DataFrame:
     return stage(df.withColumn(name, F.monotonically_increasing_id()), label)
 
 
+def release_memory() -> None:
+    """Hand freed memory back to the system.
+
+    Python workers outlive their tasks and go on with those of later stages; without this,
+    each would keep the peak of every stage it has worked for.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of each piece stay near ``STEP_BYTES``."""
+    """Cut batches so that the texts of each piece stay near ``STEP_BYTES``.
+
+    A task begins and ends with the memory of no other.
+    """
+    release_memory()
+    try:
+        yield from _cut(batches, text)
+    finally:
+        release_memory()
+
+
+def _cut(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = pc.binary_length(batch.column(text)).to_pylist()
         start, total = 0, 0

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,33 +31,46 @@ class ByteTokenizer:
 
     The vocabulary of the ``tokenizers`` file is handed to ``tiktoken``, which gives the
     same ids several times faster. A text that holds the string of a special token goes to
-    the tokenizer of the file itself.
+    the tokenizer of the file itself, which is only loaded then.
     """
 
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        added = self._tokenizer.get_added_tokens_decoder()
-        self._special = [token.content for token in added.values()]
+        self._path = path
+        with open(path, encoding="utf-8") as file:
+            content = json.load(file)
+        added = {token["id"]: token["content"] for token in content["added_tokens"]}
+        self._special = list(added.values())
         letters = _byte_letters()
         ranks = {
             bytes(letters[c] for c in token): rank
-            for token, rank in self._tokenizer.get_vocab(with_added_tokens=False).items()
+            for token, rank in content["model"]["vocab"].items()
             if rank not in added
         }
         self._fast = tiktoken.Encoding(
             "bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
 
+    @cached_property
+    def _whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self._path)
+
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self._special):
-            return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return array("I", self._whole.encode(text, add_special_tokens=False).ids).tobytes()
         return array("I", self._fast.encode_ordinary(text)).tobytes()
 
 
+@lru_cache(maxsize=1)
+def byte_tokenizer(path: str) -> ByteTokenizer:
+    """One tokenizer per process: tasks that follow each other share it."""
+    return ByteTokenizer(path)
+
+
 def _byte_letters() -> dict[str, int]:
     """The letter by which a byte-level vocabulary writes each byte.
 
@@ -83,7 +98,7 @@ def cut_pieces(
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = ByteTokenizer(path)
+        tokens = byte_tokenizer(path)
         end = array("I", [end_id]).tobytes()
         for batch in steps(batches):
             columns: list[list] = [[], [], [], [], [], []]
