@@ -54,14 +54,14 @@ class ByteTokenizer:
         )
 
     @cached_property
-    def _whole(self):
+    def _tokenizer(self):
         from tokenizers import Tokenizer
 
         return Tokenizer.from_file(self._path)
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self._special):
-            return array("I", self._whole.encode(text, add_special_tokens=False).ids).tobytes()
+            return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return array("I", self._fast.encode_ordinary(text)).tobytes()
 
 
