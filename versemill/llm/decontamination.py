@@ -27,7 +27,7 @@ FIT_DOCUMENTS = 2000
 LEAST_COSINE, LEAST_COMMON, LEAST_ANSWER = 0.0, 0.65, 0.5
 
 # Cosines of windows with passages held at once.
-_COSINES = 4_000_000
+_COSINES = 500_000
 
 # Words of an answer: the most informative ones of a passage.
 ANSWER_WORDS = 4
