@@ -89,10 +89,10 @@ def add_columns(
 ) -> DataFrame:
     """The columns ``keep`` (or all) of ``docs`` and those that ``kernel`` makes of a list of texts.
 
-    ``fields`` is the DDL of the new columns, which must not clash with those of ``docs``.
+    ``fields`` is the DDL of the new columns; a column of ``docs`` with the name of one is replaced.
     """
     extra = StructType.fromDDL(fields)
-    names = docs.columns if keep is None else keep
+    names = [n for n in (docs.columns if keep is None else keep) if n not in extra.names]
     schema = StructType([docs.schema[n] for n in names] + extra.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,14 +115,14 @@ def same_id(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def restrict(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of ``docs`` (with ``doc_id``) whose id is, or for ``left_anti`` is not, in the written table ``ids``.
+def restrict(docs: DataFrame, ids: DataFrame, how: str = "left_semi", id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose ``id_col`` is, or for ``left_anti`` is not, a ``doc_id`` of the written table ``ids``.
 
     The ids are broadcast only after they are measured.
     """
     ids = ids.select(F.col("doc_id").alias("_listed")).distinct()
     small = fits_in_memory(ids)
-    return docs.join(F.broadcast(ids) if small else ids, same_id(docs["doc_id"], F.col("_listed")), how)
+    return docs.join(F.broadcast(ids) if small else ids, same_id(docs[id_col], F.col("_listed")), how)
 
 
 # --- hashed words ----------------------------------------------------------------------

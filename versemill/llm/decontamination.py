@@ -321,6 +321,4 @@ def find_contamination(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; all columns pass unchanged."""
     found = stage(find_contamination(docs, benchmark, id_col, text_col).select("doc_id"), "contaminated")
-    named = docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs
-    out = restrict(named, found, "left_anti")
-    return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
+    return restrict(docs, found, "left_anti", id_col)

@@ -482,6 +482,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     labelled = stage(near_duplicates(docs, id_col, text_col, **options), "minhash-decisions")
     kept = labelled.where("kept").select("doc_id")
     dropped = labelled.where("NOT kept").select("doc_id").subtract(kept)
-    named = docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs
-    out = restrict(named, stage(dropped, "minhash-dropped"), "left_anti")
-    return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
+    return restrict(docs, stage(dropped, "minhash-dropped"), "left_anti", id_col)
