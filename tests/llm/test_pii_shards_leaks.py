@@ -158,15 +158,89 @@ def test_common_subsequence_equals_dynamic_programming():
         assert decontamination.common_subsequence(a, b) == table[-1, -1]
 
 
-def test_copy_whose_window_leans_to_other_words_is_a_candidate():
-    projection = np.zeros((64, 2), np.float32)
-    projection[:9, 0], projection[9:, 1] = 1, 3
-    passages = decontamination.Passages([5], [np.arange(9, dtype=np.uint64)])
-    searcher = decontamination._Searcher(passages, decontamination.LatentSpace(projection, np.ones(64, np.float32)))
-    words = np.r_[20:40, 0:9, 40:60].astype(np.uint64)
-    found = list(searcher.candidates(words, np.array([0, len(words)])))
-    assert found and max(f[3] for f in found) < 0.4
-    assert any(searcher.confirm(words, 0, len(words), begin, p) == (1.0, 1.0) for _, begin, p, _ in found)
+def _planted(share, count=60, seed=11):
+    """Passages, and texts that hold one each with a share of its words replaced by others of the corpus."""
+    generator = np.random.default_rng(seed)
+    items = [prose(5000 + k, 15 + k % 44) for k in range(count)]
+    texts = []
+    for k, item in enumerate(items):
+        words, other = item.split(), prose(7000 + k, 60).split()
+        words = [other[i] if generator.random() < share else w for i, w in enumerate(words)]
+        texts.append(f"{prose(8000 + k, 5 + 7 * (k % 20))} {' '.join(words)} {prose(9000 + k, 90)}")
+    return items, texts
+
+
+def _brute(items, texts):
+    """Pairs that pass the checks at any place of a text, without a latent space."""
+    cut = [re.findall(r"[^\W_]+", i.lower()) for i in items]
+    held = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
+    frequency = defaultdict(int)
+    for words in held:
+        for word in set(words):
+            frequency[word] += 1
+    found = set()
+    for i, item in enumerate(cut):
+        weight = {w: np.float32(np.log((len(texts) + 2) / (frequency[w] + 1))) for w in item}
+        ranks = {w: (-weight[w], n) for n, w in enumerate(sorted(set(item)))}
+        answer = set(sorted(ranks, key=ranks.get)[:4])
+        for t, words in enumerate(held):
+            for at in range(0, max(1, len(words) - len(item)), 4):
+                around = words[max(0, at - len(item)) : at + 2 * len(item)]
+                if 2 * len(answer & set(around)) >= len(answer):
+                    if decontamination.common_subsequence(item, around) >= 0.65 * len(item):
+                        found.add((t, i))
+    return found
+
+
+def test_recall_of_the_whole_query_by_share_of_replaced_words(spark):
+    for share, least in ((0.0, 1.0), (0.1, 0.99), (0.2, 0.95), (0.3, 0.9)):
+        items, texts = _planted(share)
+        benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+        found = decontamination.find_contamination(documents(spark, list(enumerate(texts))), benchmark)
+        got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+        pairs = {(k, k) for k in range(len(items))}
+        passing = _brute(items, texts) & pairs
+        assert len(got & passing) >= least * len(passing), share
+        assert share > 0 or got >= pairs
+
+
+def test_cosine_prunes_by_an_order_of_magnitude(spark):
+    items, texts = _planted(0.0)
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontamination.read_documents(documents(spark, list(enumerate(texts))))
+    block = decontamination.read_passages(decontamination.read_documents(benchmark, "item_id", "text"), "doc_id")
+    passages = decontamination.Passages.read(block)
+    space = decontamination.fit_latent_space(rows, block, passages)
+    hashes, firsts = decontamination.word_hashes(
+        decontamination.pa.array(texts), decontamination.alphanumeric_letters(), single=True
+    )
+    words = passages.vocabulary.number(hashes)
+    count = [
+        sum(len(found[1]) for found in decontamination._Searcher(passages, space, least).near(words, firsts))
+        for least in (-1.1, decontamination.LEAST_COSINE)
+    ]
+    assert count[1] * 10 <= count[0]
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    capital, chinese = "What is the capital city of France", "王小明昨天在北京大学图书馆里读完了一本很厚的书"
+    items = [(1, capital), (2, chinese), (3, "Thames"), (4, "书")]
+    given = [(k, prose(k, 60)) for k in range(40)]
+    given += [(50, f"{prose(1, 30)} what is the CAPITAL city of france? {prose(2, 9)}"), (51, f"我说{chinese[:10]}也{chinese[11:]}。")]
+    given += [(52, "the capital city of what is france"), (53, "the thames"), (54, "Thameside"), (55, "what is the capital city"), (56, "of France")]
+    found = decontamination.find_contamination(documents(spark, given), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(50, 1), (51, 2), (51, 4), (53, 3)}
+
+
+def test_blocks_of_passages_give_the_same_rows(spark, monkeypatch):
+    items, texts = _planted(0.1, count=60)
+    items += items[:3]  # equal texts under other ids
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = documents(spark, list(enumerate(texts)))
+    pairs = [decontamination.find_contamination(docs, benchmark).select("doc_id", "item_id").collect()]
+    monkeypatch.setattr(decontamination, "BLOCK_PASSAGES", 20)
+    pairs.append(decontamination.find_contamination(docs, benchmark).select("doc_id", "item_id").collect())
+    assert len(pairs[0]) >= 63 and sorted(pairs[0]) == sorted(pairs[1])
 
 
 def test_leaks_are_found_and_clean_documents_left(spark):

@@ -159,9 +159,12 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(texts: pa.Array, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, letters: np.ndarray, single: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words in order, and the first word of each text (one more at the end).
 
+    With ``single``, every character of a script without spaces (Chinese characters, kana,
+    Thai, Lao) is a word.
+
     ``letters`` maps each byte to the byte that is hashed, 0 for bytes between words. The
     hash is a polynomial in the word's bytes, taken from running sums over all texts.
     """
@@ -171,6 +174,13 @@ def word_hashes(texts: pa.Array, letters: np.ndarray) -> tuple[np.ndarray, np.nd
     inside[:-1], inside[-1] = mapped != 0, False
     cut = np.zeros(len(mapped) + 1, bool)
     cut[offsets] = True
+    if single:
+        # in UTF-8 these characters have three bytes: E3 to E9 first, or E0 before B8 to BB
+        alone = np.flatnonzero((data >= 0xE3) & (data <= 0xE9))
+        other = np.flatnonzero(data == 0xE0)
+        other = other[(data[other + 1] >= 0xB8) & (data[other + 1] <= 0xBB)]
+        for lead in (alone, other):
+            cut[lead], cut[lead + 3] = True, True
     before = np.empty(len(mapped), bool)
     before[:1], before[1:] = False, inside[: max(0, len(mapped) - 1)]
     starts = np.flatnonzero(inside[:-1] & (~before | cut[:-1]))

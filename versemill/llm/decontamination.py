@@ -5,26 +5,24 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versemill.llm.common import alphanumeric_letters, read_documents, restrict, steps, word_hashes
+from versemill.llm.common import alphanumeric_letters, mix, read_documents, restrict, steps, word_hashes
 from versemill.llm.svd import right_singular_vectors
 from versemill.staging import stage
 
-# Hashed features of the term matrix, and the rank of the latent space.
-FEATURES, RANK = 1 << 14, 96
-
-# Documents whose passages the space is fitted on, besides all benchmark passages.
-FIT_DOCUMENTS = 2000
+# Rank of the latent space of a block, and passages of a block on average: a worker holds
+# the space of one block, at most 64 x 1024 words x 96 numbers.
+RANK, BLOCK_PASSAGES = 96, 1024
 
 # Cosine from which a window is a candidate; common subsequence and share of the answer
-# words, as parts of the passage, from which a candidate is confirmed. The cosine is low
-# since windows hold other words too: copies were lost from 0.1 on, and answer words prune.
-LEAST_COSINE, LEAST_COMMON, LEAST_ANSWER = 0.0, 0.65, 0.5
+# words, as parts of the passage, from which a candidate is confirmed.
+LEAST_COSINE, LEAST_COMMON, LEAST_ANSWER = 0.3, 0.65, 0.5
 
 # Cosines of windows with passages held at once.
 _COSINES = 500_000
@@ -32,7 +30,8 @@ _COSINES = 500_000
 # Words of an answer: the most informative ones of a passage.
 ANSWER_WORDS = 4
 
-# Shorter passages are common phrases and are not searched; longer ones are cut.
+# Shorter items are common phrases: they are sought as they stand, without a paraphrase.
+# Longer ones than the second are cut.
 LEAST_WORDS, MOST_WORDS = 8, 64
 
 # Windows are built from blocks of this many words; each passage is sought with the
@@ -41,113 +40,141 @@ _BLOCK = 4
 _WINDOWS = {16: 4, 24: 8, 32: 8, 48: 12, 64: 16}
 
 
+def read_passages(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``(item, words array<long>)``: all items as hashed words, in passages of at most ``MOST_WORDS``.
+
+    A longer item is cut into passages of near equal length; equal rows count once, items
+    without words not at all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = alphanumeric_letters()
+        for batch in steps(batches):
+            hashes, firsts = word_hashes(batch.column("text"), letters, single=True)
+            places, passages = [], []
+            for i in range(batch.num_rows):
+                own = hashes[firsts[i] : firsts[i + 1]].view(np.int64)
+                parts = np.array_split(own, -(-len(own) // MOST_WORDS)) if len(own) else []
+                places += [i] * len(parts)
+                passages += parts
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(places, pa.int64())), pa.array(passages, pa.list_(pa.int64()))],
+                names=["item", "words"],
+            )
+
+    rows = read_documents(benchmark, id_col, text_col)
+    return rows.mapInArrow(run, "item long, words array<long>").distinct()
+
+
+class Vocabulary:
+    """The different words of some passages, numbered by their hashes."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = np.unique(words)
+        self._maybe = np.zeros(1 << 16, bool)
+        self._maybe[self.words & np.uint64(0xFFFF)] = True
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def number(self, words: np.ndarray) -> np.ndarray:
+        """The number of each word; ``len(self)`` for words of no passage."""
+        out = np.full(len(words), len(self.words), np.int32)
+        if len(self.words):
+            some = np.flatnonzero(self._maybe[words & np.uint64(0xFFFF)])
+            at = np.minimum(np.searchsorted(self.words, words[some]), len(self.words) - 1)
+            known = self.words[at] == words[some]
+            out[some[known]] = at[known]
+        return out
+
+
 @dataclass
 class Passages:
-    """Benchmark passages as hashed words; ``items`` names the item of each."""
+    """One block of benchmark passages as numbered words; ``items`` names the item of each."""
 
-    items: list[int]
+    items: list[int | None]
     words: list[np.ndarray]
+    vocabulary: Vocabulary
 
     @classmethod
-    def read(cls, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> "Passages":
-        """All items, cut into passages of at most ``MOST_WORDS`` words of near equal length.
+    def of(cls, items: list[int | None], words: list[np.ndarray]) -> "Passages":
+        """From hashed words."""
+        vocabulary = Vocabulary(np.concatenate(words) if words else np.empty(0, np.uint64))
+        return cls(items, [vocabulary.number(w) for w in words], vocabulary)
 
-        The benchmark is held by every worker: it is the bounded side by its nature.
-        """
-        rows = read_documents(benchmark, id_col, text_col).orderBy(F.col("doc_id").asc_nulls_last(), "text").collect()
-        hashes, firsts = word_hashes(pa.array([r["text"] for r in rows], pa.string()), alphanumeric_letters())
-        items, words = [], []
-        for i, row in enumerate(rows):
-            own = hashes[firsts[i] : firsts[i + 1]]
-            for part in np.array_split(own, -(-len(own) // MOST_WORDS) or 1):
-                if len(part) >= LEAST_WORDS:
-                    items.append(row["doc_id"])
-                    words.append(part)
-        return cls(items, words)
+    @classmethod
+    def read(cls, block: DataFrame) -> "Passages":
+        """The passages of one block of ``read_passages``, a bounded number of rows."""
+        rows = sorted(block.collect(), key=lambda r: (r["item"] is None, r["item"], r["words"]))
+        return cls.of([r["item"] for r in rows], [np.array(r["words"], np.int64).view(np.uint64) for r in rows])
 
 
-def _document_frequencies(docs: DataFrame, features: int) -> tuple[np.ndarray, int]:
-    """In how many of all documents each feature occurs, and their number."""
+def _document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
+    """In how many of all documents each word of the vocabulary occurs, and their number."""
+    size = len(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, total, count = alphanumeric_letters(), np.zeros(features + 1, np.int64), 0
+        letters, total, count = alphanumeric_letters(), np.zeros(size + 1, np.int64), 0
         for batch in steps(batches):
-            hashes, firsts = word_hashes(batch.column("text"), letters)
-            owner = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-            keys = np.unique(owner * features + (hashes % np.uint64(features)).astype(np.int64))
-            total[:features] += np.bincount(keys % features, minlength=features)
+            hashes, firsts = word_hashes(batch.column("text"), letters, single=True)
+            numbers = vocabulary.number(hashes)
+            known = np.flatnonzero(numbers < size)
+            owner = np.searchsorted(firsts, known, side="right") - 1
+            keys = np.unique(owner * size + numbers[known])
+            total[:size] += np.bincount(keys % size, minlength=size)
             count += batch.num_rows
-        total[features] = count
+        total[size] = count
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], names=["feature", "n"]
+            [pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], names=["word", "n"]
         )
 
-    parts = docs.mapInArrow(run, "feature int, n long")
-    out = np.zeros(features + 1, np.int64)
-    for row in parts.groupBy("feature").agg(F.sum("n").alias("n")).collect():  # features rows at most
-        out[row["feature"]] = row["n"]
-    return out[:features], int(out[features])
-
-
-def _sample_passages(docs: DataFrame, documents: int, features: int) -> DataFrame:
-    """``(features, counts)`` of passages of ``MOST_WORDS / 2`` words of a fixed sample of documents."""
-    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-    chosen = restrict(docs, stage(ids, "latent-sample"))
-    length = MOST_WORDS // 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = alphanumeric_letters()
-        for batch in steps(batches):
-            hashes, firsts = word_hashes(batch.column("text"), letters)
-            found = (hashes % np.uint64(features)).astype(np.int32)
-            rows = [
-                found[at : min(at + length, end)]
-                for begin, end in zip(firsts[:-1], firsts[1:])
-                for at in range(begin, end, length)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], names=["features"])
-
-    return chosen.mapInArrow(run, "features array<int>")
+    parts = docs.mapInArrow(run, "word int, n long")
+    out = np.zeros(size + 1, np.int64)
+    for row in parts.groupBy("word").agg(F.sum("n").alias("n")).collect():  # words of one block at most
+        out[row["word"]] = row["n"]
+    return out[:size], int(out[size])
 
 
 @dataclass
 class LatentSpace:
-    """Weighted projection of each feature: inverse document frequency times scaled singular vector."""
+    """Weighted projection of each word: inverse document frequency times scaled singular vector.
+
+    The last row is that of words of no passage: nothing.
+    """
 
     projection: np.ndarray
     information: np.ndarray
 
     def of(self, words: np.ndarray) -> np.ndarray:
-        return self.projection[(words % np.uint64(len(self.projection))).astype(np.int64)]
+        return self.projection[words]
+
 
+def fit_latent_space(docs: DataFrame, block: DataFrame, passages: Passages, rank: int = RANK) -> LatentSpace:
+    """Document frequencies over all documents; singular vectors of all passages of the block.
 
-def fit_latent_space(
-    docs: DataFrame, passages: Passages, features: int = FEATURES, rank: int = RANK, fit_documents: int = FIT_DOCUMENTS
-) -> LatentSpace:
-    """Document frequencies over all documents; singular vectors of benchmark and sampled passages."""
-    frequency, count = _document_frequencies(docs, features)
-    information = np.log((count + 1) / (frequency + 1)).astype(np.float32)
-    spark = docs.sparkSession
-    own = [(p % np.uint64(features)).astype(int).tolist() for p in passages.words]
-    rows = _sample_passages(docs, fit_documents, features)
-    if own:
-        rows = rows.union(spark.createDataFrame([(o,) for o in own], "features array<int>"))
+    Words of no passage have no part in the space, so what surrounds a passage in a
+    document turns its window aside only by the words that other passages share.
+    """
+    frequency, count = _document_frequencies(docs, passages.vocabulary)
+    information = np.log((count + 2) / (frequency + 1)).astype(np.float32)
+    vocabulary = passages.vocabulary
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column("features").to_pylist()
-            weights = [information[f] if f else np.empty(0, np.float32) for f in found]
+            found = [vocabulary.number(np.array(w, np.int64).view(np.uint64)) for w in batch.column("words").to_pylist()]
+            weights = [information[f] for f in found]
             weights = [w / (np.linalg.norm(w) + 1e-9) for w in weights]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("features"), pa.array(weights, pa.list_(pa.float32()))], names=["features", "weights"]
+                [pa.array(found, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))],
+                names=["features", "weights"],
             )
 
-    # the sample is bounded: a few partial products are enough
-    matrix = stage(rows.mapInArrow(weigh, "features array<int>, weights array<float>").coalesce(4), "latent-matrix")
-    vectors, values = right_singular_vectors(matrix, features, rank)
-    projection = vectors / np.maximum(values, 1e-9).astype(np.float32) * information[:, None]
-    return LatentSpace(np.ascontiguousarray(projection, dtype=np.float32), information)
+    matrix = stage(block.select("words").mapInArrow(weigh, "features array<int>, weights array<float>"), "latent-matrix")
+    vectors, values = right_singular_vectors(matrix, len(vocabulary), rank)
+    projection = np.zeros((len(vocabulary) + 1, vectors.shape[1]), np.float32)
+    projection[:-1] = vectors / np.maximum(values, 1e-9).astype(np.float32) * information[:, None]
+    return LatentSpace(projection, information)
 
 
 def common_subsequence(left: list[int], right: list[int]) -> int:
@@ -162,52 +189,79 @@ def common_subsequence(left: list[int], right: list[int]) -> int:
     return len(left) - row.bit_count()
 
 
+def _sequences(words: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` words from every place on; places without so many have none."""
+    out = np.zeros(max(0, len(words) - length + 1), np.uint64)
+    for k in range(length):
+        out = mix(out + words[k : k + len(out)].astype(np.uint64) + np.uint64(1))
+    return out
+
+
 class _Searcher:
     """The passages in the latent space, and the check of a candidate window."""
 
-    def __init__(self, passages: Passages, space: LatentSpace):
+    def __init__(self, passages: Passages, space: LatentSpace, least_cosine: float = LEAST_COSINE):
         self._space = space
+        self._least_cosine = least_cosine
         self._items = passages.items
+        self._passages = passages.words
         self._words = [p.tolist() for p in passages.words]
         self._answers = []
         for p in passages.words:
             distinct = np.unique(p)
-            weight = space.information[(distinct % np.uint64(len(space.information))).astype(np.int64)]
-            self._answers.append(set(distinct[np.argsort(-weight, kind="stable")[:ANSWER_WORDS]].tolist()))
+            self._answers.append(
+                set(distinct[np.argsort(-space.information[distinct], kind="stable")[:ANSWER_WORDS]].tolist())
+            )
         pairs = sorted((word, i) for i, words in enumerate(self._answers) for word in words)
-        self._answer_words = np.array([p[0] for p in pairs], np.uint64)
         self._answer_owner = np.array([p[1] for p in pairs], np.int64)
+        # the owners of word w stand from place w on to place w + 1
+        self._answer_begin = np.searchsorted(
+            np.array([p[0] for p in pairs], np.int64), np.arange(len(passages.vocabulary) + 2)
+        )
         self._least_hits = np.array([math.ceil(LEAST_ANSWER * len(a)) for a in self._answers], np.int64)
         self._sizes = np.array([len(w) for w in self._words], np.int64)
         self._groups = []
-        for least, window in zip((0, *_WINDOWS), _WINDOWS):
+        for least, window in zip((LEAST_WORDS - 1, *_WINDOWS), _WINDOWS):
             members = [i for i, w in enumerate(self._words) if least < len(w) <= window]
             if members:
                 vectors = np.stack([space.of(passages.words[i]).sum(axis=0) for i in members])
                 vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9
                 self._groups.append((window, np.array(members), np.ascontiguousarray(vectors.T)))
+        self._short: dict[int, dict[int, list[int]]] = {}
+        for i, p in enumerate(passages.words):
+            if len(p) < LEAST_WORDS:
+                self._short.setdefault(len(p), {}).setdefault(int(_sequences(p, len(p))[0]), []).append(i)
+
+    def short_items(self, words: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, int]]:
+        """``(text, passage)`` of passages under ``LEAST_WORDS`` words that stand in a text as they are."""
+        for length, known in self._short.items():
+            made = _sequences(words, length)
+            places = np.flatnonzero(np.isin(made, np.array(list(known), np.uint64)))
+            texts = np.searchsorted(firsts, places, side="right") - 1
+            for place, text in zip(places.tolist(), texts.tolist()):
+                if place + length <= firsts[text + 1]:
+                    own = words[place : place + length]
+                    for passage in known[int(made[place])]:
+                        if np.array_equal(self._passages[passage], own):
+                            yield text, passage
 
     def _answer_places(self, words: np.ndarray) -> np.ndarray:
         """Every place of an answer word as passage * number of words + place, sorted."""
-        low = np.searchsorted(self._answer_words, words, side="left")
-        known = np.minimum(low, len(self._answer_words) - 1)
-        places = np.flatnonzero(self._answer_words[known] == words)
-        low = low[places]
-        count = np.searchsorted(self._answer_words, words[places], side="right") - low
+        count = self._answer_begin[words + 1] - self._answer_begin[words]
+        places = np.flatnonzero(count)
+        low, count = self._answer_begin[words[places]], count[places]
         at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
         return np.sort(self._answer_owner[at] * (len(words) + 1) + np.repeat(places, count))
 
-    def candidates(self, words: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """``(text, first word of the window, passage, cosine)`` of all windows near a passage.
-
-        Of the windows near enough in the latent space, those stay around which at least
-        ``LEAST_ANSWER`` of the passage's answer words occur, counted with repeats.
-        """
+    def near(
+        self, words: np.ndarray, firsts: np.ndarray
+    ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """``(words of a window, text, first word, passage, cosine)`` of all windows near a passage, in pieces."""
         blocks = -(-np.diff(firsts) // _BLOCK)
         text = np.repeat(np.arange(len(blocks)), blocks)
         first_block = np.cumsum(blocks) - blocks
         begin = firsts[:-1][text] + _BLOCK * (np.arange(len(text)) - first_block[text])
-        if not len(begin):
+        if not len(begin) or not self._groups:
             return
         sums = np.zeros((len(begin) + 1, self._space.projection.shape[1]), np.float32)
         for at in range(0, len(begin), 2048):
@@ -219,7 +273,6 @@ class _Searcher:
         sums[1:] -= mean
         np.cumsum(sums, axis=0, out=sums)
         last_block = first_block + blocks
-        answers = self._answer_places(words)
         inside = np.arange(len(begin)) - first_block[text]
         for window, members, vectors in self._groups:
             span, step = window // _BLOCK, _WINDOWS[window] // _BLOCK
@@ -232,15 +285,24 @@ class _Searcher:
                 total = sums[ends] - sums[some] + mean * (ends - some)[:, None].astype(np.float32)
                 total /= np.linalg.norm(total, axis=1, keepdims=True) + 1e-9
                 cosine = total @ vectors
-                near, column = np.nonzero(cosine >= LEAST_COSINE)
-                block, passage = some[near], members[column]
-                margin, row = self._sizes[passage], passage * (len(words) + 1)
-                low = np.maximum(firsts[text[block]], begin[block] - margin)
-                high = np.minimum(firsts[text[block] + 1], begin[block] + window + margin)
-                hits = np.searchsorted(answers, row + high) - np.searchsorted(answers, row + low)
-                stay = np.flatnonzero(hits >= self._least_hits[passage])
-                block, passage, cosines = block[stay], passage[stay], cosine[near[stay], column[stay]]
-                yield from zip(text[block].tolist(), begin[block].tolist(), passage.tolist(), cosines.tolist())
+                near, column = np.nonzero(cosine >= self._least_cosine)
+                block = some[near]
+                yield window, text[block], begin[block], members[column], cosine[near, column]
+
+    def candidates(self, words: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+        """``(text, first word of the window, passage, cosine)`` of windows to confirm.
+
+        Of the windows near a passage, those stay around which at least ``LEAST_ANSWER`` of
+        its answer words occur, counted with repeats.
+        """
+        answers = self._answer_places(words)
+        for window, text, begin, passage, cosine in self.near(words, firsts):
+            margin, row = self._sizes[passage], passage * (len(words) + 1)
+            low = np.maximum(firsts[text], begin - margin)
+            high = np.minimum(firsts[text + 1], begin + window + margin)
+            hits = np.searchsorted(answers, row + high) - np.searchsorted(answers, row + low)
+            stay = np.flatnonzero(hits >= self._least_hits[passage])
+            yield from zip(*(found[stay].tolist() for found in (text, begin, passage, cosine)))
 
     def confirm(self, words: np.ndarray, first: int, last: int, begin: int, passage: int) -> tuple[float, float]:
         """Common subsequence and answer share of a passage around the window at ``begin``."""
@@ -274,32 +336,46 @@ def find_contamination(
 ) -> DataFrame:
     """One row per document and benchmark item that it holds: ``doc_id, item_id, cosine, common, answer``.
 
-    Items are cut into passages of up to 64 words. All windows of all documents are
-    projected into the latent space and compared with all passages of their length class,
-    in blocks; candidates are confirmed by the longest common subsequence of words (at
-    least 0.65 of the passage) and by its most informative words (at least half of them).
-    Words are runs of letters and digits, in lower case. Items under 8 words, empty and
-    null texts are never found; an empty benchmark or document table gives no rows, and
-    rows that repeat an id are searched each and reported once.
+    Items are cut into passages of up to 64 words, dealt into blocks by hash. Per block, all
+    windows of all documents are projected into the latent space of its passages and
+    compared with those of their length class; candidates are confirmed by the longest
+    common subsequence of words (at least 0.65 of the passage) and by its most informative
+    words (at least half of them). Words are runs of letters and digits, in lower case; in
+    scripts without spaces every character is a word. Items under 8 words are found where
+    their words stand one behind the other, with the cosine 1. Empty and null texts are
+    never found; an empty benchmark or document table gives no rows, rows that repeat an id
+    are searched each and reported once, and a null id is reported as null.
     """
     rows = read_documents(docs, id_col, text_col)
-    passages = Passages.read(benchmark, item_col, item_text_col)
-    if not passages.items:
+    passages = stage(read_passages(benchmark, item_col, item_text_col), "passages")
+    blocks = -(-passages.count() // BLOCK_PASSAGES)
+    if not blocks:
         return rows.select("doc_id").limit(0).selectExpr(
             "doc_id", "CAST(NULL AS long) AS item_id", *(f"CAST(NULL AS double) AS {n}" for n in ("cosine", "common", "answer"))
         )
-    space = fit_latent_space(rows, passages)
-    shared = docs.sparkSession.sparkContext.broadcast((passages, space))  # features x rank numbers
+    block = F.pmod(F.xxhash64("item", "words"), F.lit(blocks))
+    found = [_find_block(rows, passages.where(block == b)) for b in range(blocks)]
+    found = reduce(DataFrame.unionAll, found)
+    return found.groupBy("doc_id", "item_id").agg(*(F.max(n).alias(n) for n in ("cosine", "common", "answer")))
+
+
+def _find_block(rows: DataFrame, block: DataFrame) -> DataFrame:
+    """Documents with passages of one block: ``doc_id, item_id, cosine, common, answer`` with repeats."""
+    passages = Passages.read(block)
+    space = fit_latent_space(rows, block, passages)
+    shared = rows.sparkSession.sparkContext.broadcast((passages, space))  # words of a block x rank numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher, letters = _Searcher(*shared.value), alphanumeric_letters()
+        vocabulary = shared.value[0].vocabulary
         for batch in steps(batches):
-            words, firsts = word_hashes(batch.column("text"), letters)
+            hashes, firsts = word_hashes(batch.column("text"), letters, single=True)
+            words = vocabulary.number(hashes)
             ids = batch.column("doc_id")
-            best: dict[tuple[int, int], tuple[float, float, float]] = {}
+            best = {(text, searcher.item(p)): (1.0, 1.0, 1.0) for text, p in searcher.short_items(words, firsts)}
             for text, begin, passage, cosine in searcher.candidates(words, firsts):
                 key = (text, searcher.item(passage))
-                if key in best and best[key][1] == 1.0:
+                if key in best and best[key][0] == 1.0:
                     continue
                 common, answer = searcher.confirm(words, firsts[text], firsts[text + 1], begin, passage)
                 if common >= LEAST_COMMON and answer >= LEAST_ANSWER:
@@ -314,8 +390,7 @@ def find_contamination(
                 names=["doc_id", "item_id", "cosine", "common", "answer"],
             )
 
-    found = rows.mapInArrow(run, "doc_id long, " + _FOUND)
-    return found.groupBy("doc_id", "item_id").agg(*(F.max(n).alias(n) for n in ("cosine", "common", "answer")))
+    return rows.mapInArrow(run, "doc_id long, " + _FOUND)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
