@@ -63,3 +63,26 @@ def test_run_packs_what_is_left(spark, corpus):
     assert {r["doc_id"]: r["sum(length)"] for r in found} == {
         i: len(tokens.encode(documents[i] or "")) // 4 + 1 for i in after["decontamination"]
     }
+
+
+def _tables(spark, folder, rows, labels, items):
+    spark.createDataFrame(
+        [(i, t, "en", "src", 0, "x", 1) for i, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long, toxicity string, row long",
+    ).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_null_ids_repeated_rows_and_clashing_columns(spark, tmp_path):
+    rows = [(k, prose(k, 40)) for k in range(30)]
+    rows += rows[:5] + [(None, prose(600, 40)), (None, prose(601, 40)), (40, None), (41, ""), (42, prose(700, 30_000))]
+    _tables(spark, str(tmp_path), rows, [(k, 1, 0) for k in range(30)] + [(None, 1, 1)], [(None, prose(601, 40)), (1, None)])
+    found = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()
+    ids = {r["doc_id"] for r in found}
+    assert set(range(30)) | {42} <= ids and len(ids & {40, 41}) == 1
+
+
+def test_empty_tables_give_no_rows(spark, tmp_path):
+    _tables(spark, str(tmp_path), [], [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
