@@ -5,6 +5,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import documents, prose
@@ -51,6 +52,40 @@ def test_repeats_equal_brute_force(spark):
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in found)
 
 
+def test_frequent_grams_are_dealt_by_their_strings(spark, monkeypatch):
+    split, dealt = suffix_dedup._split_ranks, []
+
+    def spied(leads, length):
+        dealt.append(leads.count())
+        return split(leads, length)
+
+    monkeypatch.setattr(suffix_dedup, "_split_ranks", spied)
+    line = prose(1, 30)
+    given = [(k, prose(100 + k, 3) + line[k % 7 :] + prose(500 + k, 3)) for k in range(120)]
+    got = suffix_dedup.remove_repeats(documents(spark, given), stretches=4).collect()
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert dealt and dealt[0] > 0
+    assert sorted(str(tuple(r[c] for c in columns)) for r in got) == brute_repeats(given)
+
+
+def test_repeated_stretches_are_a_row_each():
+    """However the grams are dealt, the rows of all parts are as many as the repeated stretches."""
+    rng = np.random.default_rng(5)
+    gram, key = rng.integers(0, 300, 2000), rng.integers(0, 50, 2000)
+    texts = {g: len(set(key[gram == g])) for g in set(gram.tolist())}
+    names = ["gram", "key1", "first"]
+    rows = 0
+    for parts in (1, 7, 64):
+        made = []
+        for part in range(parts):
+            mine = np.flatnonzero(gram % parts == part)
+            batch = pa.RecordBatch.from_arrays([pa.array(gram[mine]), pa.array(key[mine]), pa.array(mine.astype(np.int32))], names)
+            made += [r for out in suffix_dedup._repeated(iter([batch])) for r in out.to_pylist()]
+        assert sorted(r["first"] for r in made) == [i for i in range(2000) if texts[gram[i]] > 1]
+        rows = rows or len(made)
+        assert len(made) == rows
+
+
 def test_repeats_in_one_text_only_and_empty_table(spark):
     got = suffix_dedup.remove_repeats(documents(spark, [(1, "w" * 500), (2, "v")])).collect()
     assert [r["n_removed"] for r in got] == [0, 0]
