@@ -117,3 +117,40 @@ def test_counts_need_no_exchange_by_document(spark):
         assert "Exchange hash" not in made._jdf.queryExecution().executedPlan().toString()
     assert rows(vocabulary.bag_of_words(df, terms)) == [(1, 0, "a", 2), (1, 1, "b", 1)]
     assert rows(vocabulary.term_document_matrix(df, [1990])) == [(1, 1990, "a", 2), (1, 1990, "b", 1)]
+
+
+def test_counting_steps_are_bounded_whatever_the_batch(monkeypatch):
+    monkeypatch.setattr(kernel, "STEP_TOKENS", 6)
+    lists = pa.array(LISTS * 20 + [["x"] * 9], pa.list_(pa.string()))
+    steps = list(kernel.in_steps(lists))
+    assert pa.concat_arrays(steps).equals(lists)
+    assert all(sum(map(len, filter(None, s.to_pylist()))) <= 6 or len(s) == 1 for s in steps)
+    counted = kernel.by_steps(lists, kernel.row_counts_batch).to_pylist()
+    as_sets = [None if c is None else sorted((e["term"], e["n"]) for e in c) for c in counted]
+    assert as_sets == [None if t is None else sorted(Counter(x for x in t if x is not None).items()) for t in lists.to_pylist()]
+    texts = pa.array(["abc", None, "", "abcdefgh", "é"])
+    assert [s.to_pylist() for s in kernel.in_steps(texts, 4)] == [["abc", None, ""], ["abcdefgh"], ["é"]]
+
+
+def test_terms_and_pairs_are_counted_across_steps(spark, monkeypatch):
+    seen = []
+    whole = kernel.count_terms_batch
+    lists = pa.array(LISTS * 3, pa.list_(pa.string()))
+    parts = [whole(step) for step in kernel.in_steps(lists, 5)]
+    assert len(parts) > 3
+    for part in parts:
+        seen += zip(*part.to_pydict().values())
+    found = {t: (sum(d for u, d, _ in seen if u == t), sum(f for u, _, f in seen if u == t)) for t, _, _ in seen}
+    want = Counter(t for tokens in lists.to_pylist() for t in tokens or [] if t is not None)
+    assert {t: f for t, (_, f) in found.items()} == want
+    assert all(d == sum(t in (tokens or []) for tokens in lists.to_pylist()) for t, (d, _) in found.items())
+
+
+def test_only_tags_of_frequent_pairs_are_looked_up(spark, monkeypatch):
+    made = {}
+    keep = ngrams.stage
+    monkeypatch.setattr(ngrams, "stage", lambda df, label: made.setdefault(label, keep(df, label)))
+    grams = spark.createDataFrame([("sun", "light", 60, 6.0), ("run", "ing", 60, 9.0), ("low", "pmi", 60, 1.0)], "w1 string, w2 string, n long, pmi double")
+    lexicon = spark.createDataFrame([(w, "NN") for w in ("sun", "light", "low", "pmi")] + [("ing", "VBG"), ("run", "VB")] + [(f"w{i}", "NN") for i in range(50)], "word string, tag string")
+    assert rows(ngrams.filter_bigrams(grams, lexicon, ["the"]), "phrase") == [("sun light",)]
+    assert {r.word for r in made["tags"].collect()} == {"sun", "light", "run", "ing"}
