@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from versemill.llm import decontamination, exact_dedup, minhash, packing, toxicity
+from versemill.llm.common import small_batches
 from versemill.staging import stage
 
-# Bytes of one batch between the JVM and a Python worker. Spark's bound of 64 MB, doubled by
-# growing buffers and held on both sides by every core, is a large part of an executor's memory.
-BATCH_BYTES = 4 << 20
-
 _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -18,14 +15,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of a batch in this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5 by a field trained on the labelled ones."""
-    _small_batches(spark)
+    small_batches(spark)
     model = toxicity.train_toxicity(docs, _table(spark, sf_dir, "labels"))
     scored = toxicity.score_toxicity(docs.select(*_COLUMNS), model)
     return scored.where("toxicity < 0.5").select(*_COLUMNS)
@@ -33,25 +25,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    _small_batches(spark)
+    small_batches(spark)
     return exact_dedup.drop_exact_duplicates(docs).select(*_COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: shingles of five words, similarity 0.8."""
-    _small_batches(spark)
+    small_batches(spark)
     return minhash.drop_near_duplicates(docs, words=5, percent=80).select(*_COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    _small_batches(spark)
+    small_batches(spark)
     return decontamination.drop_contaminated(docs, _table(spark, sf_dir, "benchmark")).select(*_COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
-    _small_batches(spark)
+    small_batches(spark)
     return packing.pack(docs)
 
 

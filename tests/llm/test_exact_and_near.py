@@ -11,7 +11,7 @@ import pytest
 from tests.conftest import rows
 from tests.llm.helpers import documents, prose
 from versemill.llm import exact_dedup, minhash
-from versemill.llm.common import plain_letters, word_hashes
+from versemill.llm.common import BATCH_BYTES, plain_letters, word_hashes
 from versemill.llm.components import connected_components
 
 EDGE = [
@@ -162,3 +162,14 @@ def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 540)] + [(9, 9)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert set(got.values()) == {100, 500} and len(got) == 61 + 40
+
+
+def test_batches_of_near_duplicates_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(64 << 20))
+        minhash.near_duplicates(documents(spark, [])).count()
+        assert int(spark.conf.get(name)) == BATCH_BYTES
+    finally:
+        spark.conf.set(name, before)

@@ -13,7 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from versemill.joins import fits_in_memory
-from versemill.llm.common import mix, numbered, plain_letters, read_documents, restrict, steps, word_hashes
+from versemill.llm.common import (
+    mix,
+    numbered,
+    plain_letters,
+    read_documents,
+    restrict,
+    small_batches,
+    steps,
+    word_hashes,
+)
 from versemill.llm.components import connected_components
 from versemill.staging import stage
 
@@ -307,6 +316,7 @@ def near_duplicates(
     on all minima, which prunes a pair at the threshold with probability ``miss`` per step;
     links are confirmed on the full sets.
     """
+    small_batches(docs.sparkSession)
     found = _Classes(read_documents(docs, id_col, text_col), words, percent, bands, rows, miss)
     buckets = found.buckets()
     # the class that meets the most others is the one that links the most
