@@ -1,0 +1,110 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.ml.clustering import LDA
+from pyspark.sql import functions as F
+
+from versemill.operators import online_lda, topics, vocabulary
+from versemill.operators.topic_bound import digamma, likelihood_bound
+from versemill.staging import stage
+
+
+def plain_inference(terms, counts, beta, alpha, start, change):
+    gamma, steps = start, 0
+    while True:
+        theta = np.exp(digamma(gamma) - digamma(gamma.sum()))
+        last, gamma = gamma, theta * (beta[terms].T @ (counts / (beta[terms] @ theta))) + alpha
+        steps += 1
+        if np.abs(gamma - last).mean() <= change:
+            return gamma, steps
+
+
+@pytest.mark.parametrize("shape", [0.5, 5.0])
+def test_inference_equals_plain_iterations(monkeypatch, shape):
+    random = np.random.default_rng(3)
+    k, n_terms = 4, 300
+    beta = random.gamma(shape, 1.0, (n_terms, k)) + 1e-3
+    beta /= beta.sum(axis=0)
+    sizes = np.array([1, 250, 3, 40, 40, 2, 120, 7])
+    terms = np.concatenate([np.sort(random.choice(n_terms, n, replace=False)) for n in sizes]).astype(np.int32)
+    counts = random.integers(1, 6, len(terms)).astype(float)
+    alpha, start = np.full(k, 1 / k), random.gamma(100, 0.01, k)
+    calls = []
+    expectation = online_lda._expectation
+    monkeypatch.setattr(online_lda, "_expectation", lambda x: calls.append(len(x)) or expectation(x))
+    got = online_lda.infer_documents(terms, counts, sizes, beta, alpha, start)
+    ends = np.cumsum(sizes)
+    plain = 0
+    for d, (a, b) in enumerate(zip(ends - sizes, ends)):
+        exact, _ = plain_inference(terms[a:b], counts[a:b], beta, alpha, start, 1e-8)
+        assert np.abs(got[d] - exact).sum() <= 0.02 * exact.sum()
+        plain += plain_inference(terms[a:b], counts[a:b], beta, alpha, start, online_lda.CHANGE)[1]
+    # documents that plain iterations hardly move take a small part of them
+    assert sum(calls) < plain
+    monkeypatch.setattr(online_lda, "STACK", 1)
+    one_by_one = online_lda.infer_documents(terms, counts, sizes, beta, alpha, start)
+    assert one_by_one == pytest.approx(got, rel=1e-9)
+
+
+def test_a_document_that_does_not_settle_ends_with_plain_iterations():
+    beta = np.array([[0.5, 0.5]])
+    alpha = np.array([0.5, 0.5])
+    got = online_lda.infer_documents(
+        np.array([0]), np.array([1e6]), np.array([1]), beta, alpha, np.array([1.2, 0.8])
+    )
+    assert got.sum() == pytest.approx(1e6 + 1) and (got > 0).all()
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    random = np.random.default_rng(5)
+    texts = []
+    for i in range(240):
+        own = [f"{'abc'[i % 3]}{j}" for j in random.integers(0, 30, 40)]
+        texts.append((i, own + [f"x{j}" for j in random.integers(0, 10, 5)]))
+    texts += [(900, []), (7, ["a1", "a2"])]
+    df = stage(spark.createDataFrame(texts, "id long, tokens array<string>"), "planted")
+    terms = vocabulary.filter_vocabulary(vocabulary.build_vocabulary(df), df.count(), no_below=2)
+    return topics.make_corpus(df, terms)
+
+
+@pytest.mark.parametrize("alpha", ["symmetric", "asymmetric", "auto"])
+def test_fit_is_as_good_as_mllib_and_leaves_the_steps_to_the_sample(planted, monkeypatch, alpha):
+    steps = []
+    fit = LDA.fit
+    monkeypatch.setattr(LDA, "fit", lambda self, *a, **kw: steps.append(self.getMaxIter()) or fit(self, *a, **kw))
+    fitted = topics.lda_fit(planted, 3, passes=6, alpha=alpha, seed=1)
+    # MLlib's optimizer converts every document in each of its steps
+    assert steps == [0]
+    monkeypatch.undo()
+    mllib = LDA(
+        k=3, optimizer="online", maxIter=30, subsamplingRate=0.2, learningOffset=1.0, learningDecay=0.5, seed=1,
+        docConcentration=topics.document_prior(alpha, 3), topicConcentration=1 / 3, optimizeDocConcentration=alpha == "auto",
+    ).fit(planted.documents)
+    bound, tokens = likelihood_bound(fitted.model, planted.documents)
+    assert bound / tokens >= likelihood_bound(mllib, planted.documents)[0] / tokens - 0.15
+    assert fitted.model.getMaxIter() == 30 and fitted.model.vocabSize() == len(planted.terms)
+    prior = fitted.model.estimatedDocConcentration().toArray()
+    if alpha != "auto":
+        assert prior.tolist() == topics.document_prior(alpha, 3)
+    letters = topics.lda_topic_terms(fitted, 15).where(~F.col("term").startswith("x"))
+    assert letters.groupBy("topic").agg(F.countDistinct(F.substring("term", 1, 1)).alias("n")).where("n > 1").count() == 0
+
+
+def test_sums_of_a_sample_by_blocks(planted, spark):
+    n_terms, k = len(planted.terms), 3
+    random = np.random.default_rng(0)
+    beta, alpha = random.gamma(1, 1, (n_terms, k)), np.full(k, 1 / 3)
+    vector = F.unwrap_udt(F.col("features"))
+    lists = planted.documents.select(vector.getField("indices").alias("indices"), vector.getField("values").alias("values"))
+    lists = lists.where(F.size("indices") > 0)
+    found = online_lda._sums(lists, beta, alpha, np.ones(k)).collect()
+    parts = {r.block: r.sums for r in found}
+    assert parts.pop(-1)[0] == lists.count()
+    total = np.array(parts[0]).reshape(n_terms, k) * beta
+    # each occurrence of a term is shared out among the topics
+    expected = np.zeros(n_terms)
+    for r in lists.collect():
+        expected[r.indices] += r["values"]
+    assert total.sum(axis=1) == pytest.approx(expected, rel=1e-6)

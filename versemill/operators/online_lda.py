@@ -1,0 +1,234 @@
+"""Online variational Bayes for topic models: a step reads the documents of its sample alone.
+
+MLlib's optimizer checks and converts every document in each step before it samples some
+of them, and infers them one by one. Here the sample is drawn first, and the documents of
+a batch are inferred together, those of about equal length as one stack of matrices, with
+extrapolation: near the random start a document takes hundreds of plain iterations. The
+formulas, the random start of each kind, the weights of the steps and the bound at which a
+document is done are MLlib's, and so is the model that is returned.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
+from pyspark.ml.linalg import DenseMatrix, DenseVector
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from versemill.functions.gram_counts import STEP_TOKENS, in_steps
+from versemill.operators.topic_bound import digamma
+from versemill.operators.topic_matrix import BLOCK_TERMS
+from versemill.staging import new_path, scope
+
+# A document is done when its topic weights change by less than this in the mean.
+CHANGE = 1e-3
+
+# Shape of the gamma distribution of all random starts.
+SHAPE = 100.0
+
+# Numbers of a stack of documents: the arrays of an iteration stay in the processor's cache.
+STACK = 200_000
+
+# Pairs of iterations after which the documents that are not done are stacked anew.
+ROUND = 10
+
+# The farthest that an extrapolation goes, in changes by an iteration.
+LONGEST = 64.0
+
+_TINY = 1e-100
+_STATS = "block long, sums array<double>"
+
+
+def _trigamma(x: np.ndarray) -> np.ndarray:
+    """Derivative of digamma for positive numbers, by recurrence and asymptotic series."""
+    x = np.asarray(x, dtype=float)
+    shift = sum(1 / (x + i) ** 2 for i in range(6))
+    y = x + 6
+    r = 1 / (y * y)
+    return shift + 1 / y + r / 2 + r / y * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r * (1 / 30 - r * 5 / 66))))
+
+
+def _expectation(gamma: np.ndarray) -> np.ndarray:
+    """Expected logarithms of Dirichlet distributions with these weights, one per row."""
+    return digamma(gamma) - digamma(gamma.sum(axis=-1, keepdims=True))
+
+
+def _infer(
+    beta: np.ndarray, counts: np.ndarray, alpha: np.ndarray, gamma: np.ndarray, longest: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Some iterations of documents, from their parts of the matrix (documents x topics x terms) and term counts.
+
+    Returns their topic weights and which of them are done. After every second iteration the
+    logarithms of the weights go on along the last two changes (SQUAREM), as far as their
+    lengths suggest, ``longest`` at most; a length of 1 is the plain second iteration. What
+    makes a document done is the change by an iteration itself.
+    """
+
+    def iterate(gamma: np.ndarray) -> np.ndarray:
+        theta = np.exp(_expectation(gamma))
+        norm = np.matmul(theta[:, None, :], beta)[:, 0] + _TINY
+        return theta * np.matmul(beta, (counts / norm)[:, :, None])[:, :, 0] + alpha
+
+    out, done, place = gamma.copy(), np.zeros(len(counts), bool), np.arange(len(counts))
+    for _ in range(ROUND):
+        first = iterate(gamma)
+        second = iterate(first)
+        ends = np.abs(second - first).mean(axis=1) <= CHANGE
+        change = np.log(first / gamma)
+        bend = np.log(second / first) - change
+        length = np.sqrt((change**2).sum(axis=1) / np.maximum((bend**2).sum(axis=1), _TINY))[:, None]
+        length = np.clip(length, 1, longest)
+        moved = gamma * np.exp(np.clip(2 * length * change + length**2 * bend, -30, 30))
+        gamma = np.where(ends[:, None], second, moved)
+        out[place] = gamma
+        done[place] = ends
+        if ends.any():
+            left = ~ends
+            place, gamma, beta, counts = place[left], gamma[left], beta[left], counts[left]
+            if not len(place):
+                break
+    return out, done
+
+
+def _stacks(sizes: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """Documents of about equal length, so that filling up the shorter ones costs little."""
+    order = np.argsort(sizes, kind="stable")[::-1]
+    at = 0
+    while at < len(order):
+        n = max(1, STACK // (k * int(sizes[order[at]])))
+        yield order[at : at + n]
+        at += n
+
+
+def infer_documents(
+    terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray, beta: np.ndarray, alpha: np.ndarray, start: np.ndarray
+) -> np.ndarray:
+    """Topic weights of documents with ``sizes`` terms each, by the matrix ``beta`` of terms x topics."""
+    gamma = np.tile(start, (len(sizes), 1))
+    firsts, left = np.cumsum(sizes) - sizes, np.arange(len(sizes))
+    rounds = 0
+    while len(left):
+        # a document that never settles ends with plain iterations, as all are in MLlib
+        longest, going = max(1.0, LONGEST / 2 ** (rounds // 5)), []
+        rounds += 1
+        for stack in _stacks(sizes[left], len(alpha)):
+            some = left[stack]
+            inside = np.arange(sizes[some[0]])
+            here = inside < sizes[some][:, None]
+            at = np.where(here, firsts[some][:, None] + inside, 0)
+            part = np.ascontiguousarray(beta[terms[at]].transpose(0, 2, 1))
+            gamma[some], done = _infer(part, np.where(here, counts[at], 0.0), alpha, gamma[some], longest)
+            going.append(some[~done])
+        # the slow ones of all stacks go on together
+        left = np.concatenate(going)
+    return gamma
+
+
+def _sums(sample: DataFrame, beta: np.ndarray, alpha: np.ndarray, start: np.ndarray) -> DataFrame:
+    """What a sample says of each term and topic, by blocks of terms.
+
+    Block -1 has the number of documents and the sums of their expected log weights.
+    """
+    n_terms, k = beta.shape
+    shared = sample.sparkSession.sparkContext.broadcast((beta, alpha, start))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        beta, alpha, start = shared.value
+        found, documents = np.zeros((k, n_terms)), np.zeros(k + 1)
+        for batch in batches:
+            at = 0
+            for step in in_steps(batch.column("indices"), STEP_TOKENS):
+                sizes = step.value_lengths().to_numpy()
+                terms = step.flatten().to_numpy()
+                counts = batch.column("values").slice(at, len(step)).flatten().to_numpy()
+                at += len(step)
+                gamma = infer_documents(terms, counts, sizes, beta, alpha, start)
+                log_theta = _expectation(gamma)
+                documents += np.append(len(sizes), log_theta.sum(axis=0))
+                theta = np.repeat(np.exp(log_theta), sizes, axis=0)
+                ratio = counts / ((theta * beta[terms]).sum(axis=1) + _TINY)
+                for topic in range(k):
+                    found[topic] += np.bincount(terms, theta[:, topic] * ratio, minlength=n_terms)
+        if documents[0]:
+            blocks = range(0, n_terms, BLOCK_TERMS)
+            sums = [documents, *(found[:, b : b + BLOCK_TERMS].T.ravel() for b in blocks)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([-1, *(b // BLOCK_TERMS for b in blocks)], pa.int64()),
+                    pa.array(sums, pa.list_(pa.float64())),
+                ],
+                names=["block", "sums"],
+            )
+
+    def add(table: pa.Table) -> pa.Table:
+        parts = table.column("sums").combine_chunks()
+        total = parts.flatten().to_numpy().reshape(len(parts), -1).sum(axis=0)
+        return pa.table({"block": table.column("block").slice(0, 1), "sums": pa.array([total], pa.list_(pa.float64()))})
+
+    return sample.mapInArrow(run, _STATS).groupBy("block").applyInArrow(add, _STATS)
+
+
+def _better_alpha(alpha: np.ndarray, log_theta: np.ndarray, n: float, weight: float) -> np.ndarray:
+    """A Newton step towards the prior under which these mean expected log weights are likeliest."""
+    gradient = n * (log_theta - _expectation(alpha))
+    c, q = n * _trigamma(alpha.sum()), -n * _trigamma(alpha)
+    b = (gradient / q).sum() / (1 / c + (1 / q).sum())
+    moved = alpha - weight * (gradient - b) / q
+    return moved if (moved > 0).all() else alpha
+
+
+def _as_model(lda: LDA, documents: DataFrame, weights: np.ndarray, alpha: np.ndarray, eta: float) -> LDAModel:
+    """MLlib's model with this matrix: one that learned nothing is saved, given it, and read again."""
+    steps, spark = lda.getMaxIter(), documents.sparkSession
+    with scope():
+        path = new_path(spark, "topic-model")
+        model = lda.copy({lda.maxIter: 0}).fit(documents.limit(1))
+        model.set(model.maxIter, steps)
+        model.write().save(path)
+        saved = spark.read.parquet(f"{path}/data")
+        matrix = DenseMatrix(*weights.shape, weights.ravel(order="F"))
+        values = {"vocabSize": len(weights), "topicsMatrix": matrix, "docConcentration": DenseVector(alpha)}
+        values |= {"topicConcentration": eta, "gammaShape": SHAPE}
+        row = spark.createDataFrame([tuple(values[c] for c in saved.columns)], saved.schema)
+        row.coalesce(1).write.mode("overwrite").parquet(f"{path}/data")
+        return LocalLDAModel.load(path)
+
+
+def fit_online(lda: LDA, documents: DataFrame, n_terms: int, n_docs: int) -> LDAModel:
+    """What ``lda.fit(documents)`` gives with the optimizer ``online``.
+
+    ``documents`` holds sparse count vectors over ``n_terms`` terms, all ``n_docs`` of the
+    corpus, and should be cached. Sums over a sample meet by blocks of terms; the driver
+    holds the matrix, as MLlib's does.
+    """
+    k, rate, eta = lda.getK(), lda.getSubsamplingRate(), lda.getTopicConcentration()
+    alpha = np.array(lda.getDocConcentration(), float)
+    random = np.random.default_rng(lda.getSeed() & 0xFFFFFFFF)
+    weights = random.gamma(SHAPE, 1 / SHAPE, (n_terms, k))
+    start = random.gamma(SHAPE, 1 / SHAPE, k)
+    seeds = random.integers(0, 1 << 31, lda.getMaxIter()).tolist()
+    sampled = float(np.ceil(rate * n_docs))
+
+    vector = F.unwrap_udt(F.col(lda.getFeaturesCol()))
+    step = 0
+    for seed in seeds:
+        sample = documents.sample(True, rate, seed).select(
+            vector.getField("indices").alias("indices"), vector.getField("values").alias("values")
+        )
+        beta = np.exp(_expectation(weights.T)).T
+        found = _sums(sample.where(F.size("indices") > 0), np.ascontiguousarray(beta), alpha, start).toArrow()
+        if not found.num_rows:
+            continue
+        step += 1
+        weight = (lda.getLearningOffset() + step) ** -lda.getLearningDecay()
+        parts = dict(zip(found.column("block").to_pylist(), found.column("sums").combine_chunks()))
+        told = parts.pop(-1).values.to_numpy()
+        sums = np.concatenate([parts[b].values.to_numpy() for b in sorted(parts)]).reshape(n_terms, k)
+        weights = (1 - weight) * weights + weight * (sums * beta * (n_docs / sampled) + eta)
+        if lda.getOptimizeDocConcentration():
+            alpha = _better_alpha(alpha, told[1:] / told[0], told[0], weight)
+    return _as_model(lda, documents, weights, alpha, eta)
