@@ -45,13 +45,13 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 def digamma(x: np.ndarray) -> np.ndarray:
     """Derivative of log gamma for positive numbers, by recurrence and asymptotic series."""
     x = np.asarray(x, dtype=float)
-    shift = 1 / x
-    for i in range(1, 6):
-        shift += 1 / (x + i)
-    y = x + 6
-    r = 1 / (y * y)
-    series = r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
-    return np.log(y) - 0.5 / y - series - shift
+    shift = np.zeros_like(x)
+    for _ in range(6):
+        small = x < 6
+        shift = np.where(small, shift - 1 / x, shift)
+        x = np.where(small, x + 1, x)
+    r = 1 / (x * x)
+    return shift + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
 
 
 def token_count(features: str = "features") -> Column:
