@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
+from registry import models
 from registry.base import content_words
 from tests.conftest import rows
 from versemill.operators import embeddings, ngrams, phrases, topic_bound, topic_matrix, topic_views, topics, vocabulary
@@ -293,6 +295,19 @@ def test_grid_and_best_model(corpus):
     assert alone == pytest.approx(got[1].coherence)
 
 
+def test_grid_query_runs_the_whole_grid(spark, monkeypatch):
+    asked = []
+
+    def grid(data, ks, alphas=("symmetric", "asymmetric"), etas=("symmetric",), **training):
+        asked.extend((k, a, e, training["passes"]) for k in ks for a in alphas for e in etas)
+        return spark.range(1), []
+
+    monkeypatch.setattr(models, "corpus", lambda *_: None)
+    monkeypatch.setattr(topics, "lda_grid_search", grid)
+    queries()["lda_grid_search"](spark, SF)
+    assert asked == [(k, a, "symmetric", 10) for k in range(2, 11) for a in ("symmetric", "asymmetric")]
+
+
 def test_empty_vocabulary(spark, corpus):
     none = vocabulary.build_vocabulary(corpus.documents.limit(0))
     with pytest.raises(ValueError):
