@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import threading
 from collections import Counter, defaultdict
 from datetime import datetime
 from itertools import combinations
@@ -308,6 +309,34 @@ def test_grid_query_runs_the_whole_grid(spark, monkeypatch):
     assert asked == [(k, a, "symmetric", 10) for k in range(2, 11) for a in ("symmetric", "asymmetric")]
 
 
+def test_fits_of_a_grid_share_the_cores_and_read_no_cached_frame(corpus, monkeypatch):
+    alone = topics.lda_fit(corpus, k=2, passes=1)
+    levels, running, most = [], set(), []
+
+    class Watched(topics.LDA):
+        def fit(self, dataset):
+            running.add(id(self))
+            most.append(len(running))
+            levels.append(dataset.storageLevel)
+            started.wait(60)
+            try:
+                return super().fit(dataset)
+            finally:
+                running.discard(id(self))
+
+    started = threading.Barrier(2)
+    monkeypatch.setattr(topics, "LDA", Watched)
+    _, fitted = topics.lda_grid_search(corpus, [2], passes=1)
+    assert max(most) == 2
+    assert all(not (level.useMemory or level.useDisk) for level in levels)
+    assert fitted[0].model.topicsMatrix() == alone.model.topicsMatrix()
+
+
+def test_fits_that_do_not_fit_in_memory_run_one_by_one(corpus):
+    assert topics.fits_at_once(corpus) == topics.FITS_AT_ONCE
+    assert topics.fits_at_once(topics.Corpus(corpus.documents, corpus.terms, 10**15)) == 1
+
+
 def test_empty_vocabulary(spark, corpus):
     none = vocabulary.build_vocabulary(corpus.documents.limit(0))
     with pytest.raises(ValueError):
