@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 import zlib
 from array import array
 
@@ -9,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import documents, prose
+from versemill import staging
 from versemill.llm import packing, suffix_dedup
 
 
@@ -43,6 +45,30 @@ def repeat_corpus():
     return given
 
 
+def test_steps_leave_no_shuffle_files(spark, monkeypatch):
+    written = []
+
+    disk = spark._jsc.sc().env().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    alone = suffix_dedup._stage_alone
+
+    def watched(*args):
+        before = shuffles()
+        made = alone(*args)
+        end = time.monotonic() + 20  # files go in the background
+        while shuffles() - before and time.monotonic() < end:
+            time.sleep(0.1)
+        written.append(shuffles() - before)
+        return made
+
+    monkeypatch.setattr(suffix_dedup, "_stage_alone", watched)
+    given = [(k, prose(1, 60) + prose(k, 20)) for k in range(8)]
+    assert suffix_dedup.remove_repeats(documents(spark, given)).where("n_removed > 0").count() == 7
+    assert len(written) == 4 and not any(written)
+    assert spark.conf.get(staging._FREE_SHUFFLES) == "false"
+
+
+
 def test_repeats_equal_brute_force(spark):
     given = repeat_corpus()
     got = suffix_dedup.remove_repeats(documents(spark, given), with_text=True)
