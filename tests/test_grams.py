@@ -8,9 +8,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from tests.conftest import rows
 from versemill.functions import gram_counts as kernel
-from versemill.operators import ngrams, vocabulary
+from versemill.operators import ngrams, phrases, vocabulary
+from versemill.plans import corpus
+from versemill.staging import stage
 
 LISTS = [["a", "b", "a", "b", "a"], [], None, ["b"], ["a", None, "b", "a"], ["é", "a", "b", "", "a"], ["a", "b", "a"]]
 
@@ -154,3 +157,31 @@ def test_only_tags_of_frequent_pairs_are_looked_up(spark, monkeypatch):
     lexicon = spark.createDataFrame([(w, "NN") for w in ("sun", "light", "low", "pmi")] + [("ing", "VBG"), ("run", "VB")] + [(f"w{i}", "NN") for i in range(50)], "word string, tag string")
     assert rows(ngrams.filter_bigrams(grams, lexicon, ["the"]), "phrase") == [("sun light",)]
     assert {r.word for r in made["tags"].collect()} == {"sun", "light", "run", "ing"}
+
+
+def test_ngram_query_splits_texts_once(spark):
+    shown = queries()["preprocess_ngram"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in shown and "ngram-tokens" in shown
+
+
+def test_ngram_preprocessing_of_given_tokens(spark):
+    texts = ["new york city lights", "new york city", None, "cities of new york", "x", "", "new york city nights"]
+    df = spark.createDataFrame([*enumerate(texts), (1, "new york"), (None, "york city")], "id int, lyrics string")
+    pairs = spark.createDataFrame([("new", "york")], "w1 string, w2 string")
+    triples = spark.createDataFrame([("new_york", "city")], "w1 string, w2 string")
+    lemmas = spark.createDataFrame([("cities", "city"), ("lights", "light")], "word string, lemma string")
+    whole = corpus.preprocess_ngram(df, pairs, triples, lemmas).select("id", "tokens")
+    tokens = corpus.ngram_tokens(df).select("id", "tokens")
+    given = corpus.preprocess_ngram(tokens, pairs, triples, lemmas, column=None)
+    assert sorted(map(str, given.collect())) == sorted(map(str, whole.collect()))
+    assert [r.tokens for r in given.where("id = 0").collect()] == [["light"]]
+
+
+def test_phrases_of_a_written_table_write_no_lists(spark, monkeypatch):
+    lists = [t.split() if t else None for t in ("a b c a b", "a b a b a b", None, "c a b", "b")]
+    df = stage(spark.createDataFrame([(k, t) for k, t in enumerate(lists)], "id int, tokens array<string>"), "given")
+    want = rows(phrases.learn_phrases(df, 1, 0.1))
+    labels = []
+    monkeypatch.setattr(ngrams, "stage", lambda df, label: labels.append(label) or stage(df, label))
+    assert rows(phrases.learn_phrases(df, 1, 0.1, staged=True)) == want and want
+    assert labels and "token-lists" not in labels
